@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from flowmine.queries import splitting  # noqa: F401
+from flowmine.queries import cleaning, splitting  # noqa: F401
 from flowmine.queries.common import QUERIES, SQL  # noqa: F401
