@@ -70,3 +70,9 @@ def cleaning_report(df: DataFrame, features: Sequence[str], sentinels: Sequence[
 def top_rows(df: DataFrame, n: int, *order: Column) -> DataFrame:
     """The first ``n`` rows in an order (a figure's bars)."""
     return df.orderBy(*order).limit(n)
+
+
+def histogram(df: DataFrame, value: str, bins: int, *extra: Column) -> DataFrame:
+    """Counts over equal bins of [0, 1]; the value 1 falls in the last bin."""
+    b = F.least(F.floor(F.col(value) * bins), F.lit(bins - 1)).cast("int")
+    return df.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), *extra)
