@@ -139,7 +139,8 @@ def path_consistency(sequences: DataFrame, unit: str, graph: TransitionGraph, mi
         (F.sum(F.col("prob") * F.col("times")) / F.sum("times")).alias("mean"))
     factor = float(graph.n_states) if scale == "states" else 1.0
     return (sequences.join(means, unit, "left").select(
-        unit, F.coalesce(F.greatest(F.least(F.col("mean") * factor, F.lit(1.0)), F.lit(0.0)), F.lit(0.0)).alias("tc"),
+        unit, F.when(F.col("mean").isNull(), 0.0).otherwise(
+            F.greatest(F.least(F.col("mean") * factor, F.lit(1.0)), F.lit(0.0))).alias("tc"),
         F.when(F.size("events") >= min_events, 1.0).otherwise(0.0).alias("availability")))
 
 

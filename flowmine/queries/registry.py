@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from flowmine.queries import cleaning, sequences, splitting  # noqa: F401
+from flowmine.queries import cleaning, scoring, sequences, splitting  # noqa: F401
 from flowmine.queries.common import QUERIES, SQL  # noqa: F401

@@ -167,7 +167,7 @@ def _lookup(spark, sf):
 @query("path_consistency", f"""
 WITH {_TRANS_SQL},
 m AS (SELECT session_id, avg(prob) AS mean FROM pr JOIN grid USING (src, dst) GROUP BY session_id)
-SELECT t.session_id, round(coalesce(least(mean * n_states, 1), 0), 6) AS tc,
+SELECT t.session_id, round(CASE WHEN mean IS NULL THEN 0 ELSE least(mean * n_states, 1) END, 6) AS tc,
   CASE WHEN c >= 2 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS availability
 FROM (SELECT session_id, count(*) AS c FROM ev GROUP BY session_id) t CROSS JOIN ns LEFT JOIN m USING (session_id)""")
 def _tc(spark, sf):
@@ -177,7 +177,7 @@ def _tc(spark, sf):
 
 
 EVIDENCE_SQL = _PATTERN_SQL.replace("WITH ", "") + _TRANS_SQL[len(_SEQ_SQL):] + """,
-tcs AS (SELECT t.session_id, coalesce(least(mean * n_states, 1), 0) AS tc,
+tcs AS (SELECT t.session_id, CASE WHEN mean IS NULL THEN 0 ELSE least(mean * n_states, 1) END AS tc,
     CASE WHEN c >= 2 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS availability
   FROM (SELECT session_id, count(*) AS c FROM ev GROUP BY session_id) t CROSS JOIN ns
   LEFT JOIN (SELECT session_id, avg(prob) AS mean FROM pr JOIN grid USING (src, dst) GROUP BY session_id) m USING (session_id)),
@@ -261,7 +261,7 @@ WITH {_EDGE_SQL},
 m AS (SELECT src, dst FROM edges UNION SELECT session_id, session_id FROM nodes {back}),
 dg AS (SELECT dst, count(*) AS deg FROM m GROUP BY dst),
 wt AS (SELECT m.src, m.dst, 1.0 / sqrt(a.deg * b.deg) AS w FROM m JOIN dg a ON a.dst = m.dst JOIN dg b ON b.dst = m.src){step}
-SELECT session_id, round(value, 9) AS value, round(k, 9) AS k FROM h{hops}"""
+SELECT session_id, round(value / 3, 6) AS value, round(k / 3, 6) AS k FROM h{hops}"""
 
 
 for _dir, _hops in (("both", 1), ("causal", 2)):
@@ -270,7 +270,8 @@ for _dir, _hops in (("both", 1), ("causal", 2)):
         s = sessions_of(spark, sf)
         nodes = graph.session_nodes(s, "session_id", "ts", ["value", "k"])
         h = graph.propagate(nodes, edges_of(spark, sf), "session_id", ["value", "k"], hops, direction)
-        return h.select("session_id", F.round("value", 9).alias("value"), F.round("k", 9).alias("k"))
+        return h.select("session_id", F.round(F.col("value") / 3, 6).alias("value"),
+                        F.round(F.col("k") / 3, 6).alias("k"))
 
 
 @query("node_to_rows", f"""
