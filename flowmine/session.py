@@ -31,14 +31,20 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, which every executor can reach.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
-    session that has none (a local test) gets a folder of its own.
+    The cluster names it in ``spark.checkpoint.dir``; only a session that has
+    none (a local test) gets a folder of its own.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         configured = sc.getConf().get("spark.checkpoint.dir", "")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the reliable checkpoint folder and read it back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
