@@ -27,6 +27,7 @@ from flowmine.operators import graph, metrics
 from flowmine.operators.imbalance import class_weights
 from flowmine.operators.rankers import fit_one_vs_rest, labels_of
 from flowmine.operators.windows import session_windows
+from flowmine.session import cut_lineage
 from flowmine.settings import ModelSettings
 
 log = logging.getLogger(__name__)
@@ -199,8 +200,9 @@ def fit_sequence(d: TrainingData, s: ModelSettings) -> Fitted:
 def graph_features(df: DataFrame, features: Sequence[str], session: str, ts: str, host: str, hops: int,
                    max_in: int, max_gap_s: float, max_edges: int, label: str | None = None) -> DataFrame:
     """Per session its mean features and their propagated values."""
-    nodes = graph.session_nodes(df, session, ts, features, label)
-    edges = graph.session_edges(df, session, ts, host, max_in, max_gap_s)
+    # Both are read several times below, and are far smaller than the rows.
+    nodes = cut_lineage(graph.session_nodes(df, session, ts, features, label))
+    edges = cut_lineage(graph.session_edges(df, session, ts, host, max_in, max_gap_s))
     edges = graph.limit_edges(edges, max_edges)
     h = graph.propagate(nodes, edges, session, features, hops, "causal")
     far = h.select(session, F.array(*[quote(c) for c in features]).alias("__far"))
@@ -223,6 +225,7 @@ def fit_graph(d: TrainingData, s: ModelSettings) -> Fitted:
     """Linear model on raw and propagated session features; weights follow the nodes."""
     nodes = graph_features(d.train, d.features, d.session, d.ts, d.host, s.graph_hops, s.max_in_degree,
                            s.edge_max_gap_s, s.max_edges, d.y)
+    nodes = cut_lineage(nodes)
     est = LogisticRegression(featuresCol="features", labelCol="node_label", family="multinomial", maxIter=100,
                              regParam=1e-4)
     if d.weight:
