@@ -11,7 +11,7 @@ from flowmine.settings import ImbalanceSettings, ModelSettings
 
 
 def test_confidence_and_alignment(spark):
-    d = spark.createDataFrame([([1.0, 0, 0, 0], [0.2, 0.2]), ([0.25] * 4, [0.0, 0.0])], "p array<double>, q array<double>")
+    d = spark.createDataFrame([([1.0, 0.0, 0.0, 0.0], [0.2, 0.2]), ([0.25] * 4, [0.0, 0.0])], "p array<double>, q array<double>")
     got = d.select(F.round(confidence(F.col("p"), 4), 6), align_classes(F.col("q"), [1, 3], 4)).collect()
     assert tuple(got[0]) == (1.0, [0.0, 0.5, 0.0, 0.5]) and tuple(got[1]) == (0.0, [0.25] * 4)
 
@@ -168,7 +168,7 @@ def test_shapley_adds_up(spark):
     nodes["value"] *= nodes["tree"].map(lambda t: m.treeWeights[int(t)])
     paths = rankers.leaf_paths(nodes)
     phi = rankers.shapley_values(paths, x, 3)
-    raw = np.array([r[0][1] for r in m.transform(d).select("rawPrediction").collect()]) / 2.0
+    raw = np.array([r[0][1] for r in m.transform(d).select("rawPrediction").collect()])
     assert np.allclose(raw - phi.sum(1), (raw - phi.sum(1))[0])
     assert np.abs(phi[:, 2]).mean() < np.abs(phi[:, 0]).mean()
 
