@@ -135,9 +135,11 @@ def add_context(df: DataFrame, graph: TransitionGraph | None, classes: Sequence[
     """``context``: probability of each class after the previous state."""
     if graph is None:
         return df.withColumn("context", F.array_repeat(F.lit(1.0 / max(len(classes), 2)), len(classes)))
-    table = graph.outgoing(classes).withColumnRenamed("prev_state", prev)
+    table = graph.outgoing(classes)
+    if prev != "prev_state":
+        df = df.withColumn("prev_state", F.col(prev))
     flat = F.array_repeat(F.lit(1.0 / max(graph.n_states, 1)), len(classes))
-    return df.join(table, prev, "left").withColumn("context", F.coalesce("context", flat))
+    return df.join(table, "prev_state", "left").withColumn("context", F.coalesce("context", flat))
 
 
 @dataclass

@@ -66,6 +66,12 @@ class TransitionGraph:
     n_states: int
     alpha: float
 
+    # Up to this many states the lookup tables are known to be small.
+    BROADCAST_STATES = 1000
+
+    def _side(self, table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if self.n_states <= self.BROADCAST_STATES else table
+
     def totals(self) -> DataFrame:
         sums = self.edges.groupBy("src").agg(F.sum("cnt").alias("total"))
         return (self.states.select(F.col("state").alias("src")).join(sums, "src", "left")
@@ -85,7 +91,8 @@ class TransitionGraph:
         known = self.states.select(F.col("state").alias(nxt), F.lit(True).alias("__known"))
         t = self.totals().withColumnRenamed("src", prev)
         e = self.edges.select(F.col("src").alias(prev), F.col("dst").alias(nxt), F.col("cnt").alias("__c"))
-        out = df.join(t, prev, "left").join(known, nxt, "left").join(e, [prev, nxt], "left")
+        out = (df.join(self._side(t), prev, "left").join(self._side(known), nxt, "left")
+               .join(self._side(e), [prev, nxt], "left"))
         p = (F.coalesce("__c", F.lit(0)) + self.alpha) / (F.col("total") + self.alpha * self.n_states)
         return (out.withColumn(name, F.when(F.col("total").isNotNull() & F.col("__known"), p)
                                .otherwise(F.lit(1.0 / max(self.n_states, 1))))
@@ -102,8 +109,9 @@ class TransitionGraph:
         probs = [((F.coalesce(f"c{i}", F.lit(0)) + self.alpha)
                   / (F.col("total") + self.alpha * self.n_states)) if c in in_graph else flat
                  for i, c in enumerate(wanted)]
-        return self.totals().join(counts, "src", "left").select(
+        table = self.totals().join(counts, "src", "left").select(
             F.col("src").alias("prev_state"), F.array(*probs).alias("context"))
+        return self._side(table)
 
 
 def fit_transitions(sequences: DataFrame, states: Sequence[str] = (), alpha: float = 0.1,

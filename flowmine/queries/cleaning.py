@@ -181,10 +181,12 @@ def _union(spark, sf):
 WITH {ORDER_FILES_SQL} SELECT row_ AS row, source,
   row_number() OVER (PARTITION BY source ORDER BY text NULLS LAST, row_) AS pos FROM f""")
 def _order(spark, sf):
-    from pyspark.sql import Window
-    d = order_files(spark, sf)
-    w = Window.partitionBy("source").orderBy(*clean.order_key("text", "source", "row"))
-    return d.select("row", "source", F.row_number().over(w).cast("long").alias("pos"))
+    from flowmine.operators.blocks import add_running
+    # The first five characters are a prefix of the order, so they cut a large
+    # file into slices.
+    d = order_files(spark, sf).withColumn("slice", F.substring("text", 1, 5))
+    out = add_running(d, ["source"], ["text", "row"], "slice", {"pos": F.lit(1).cast("long")})
+    return out.select("row", "source", "pos")
 
 
 DIRTY = ["rate", "shift", "window", "k"]
