@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowmine.functions.columns import (
-    INF, any_of, lookup, normalise_text, quote, seeded_order)  # noqa: F401
+from flowmine.functions.columns import INF, any_of, lookup, normalise_text, quote
 from flowmine.operators.blocks import add_running
 from flowmine.settings import (
     AFTERNOON_TOKENS, CLASS_ORDER, DST_PORT_COLUMNS, IDENTIFIER_COLUMNS, LABEL_GROUPS, UNLABELLED,
@@ -132,7 +132,6 @@ def group_labels(df: DataFrame, label: str, groups: Mapping[str, str] = LABEL_GR
     unknown_classes = sorted(set(groups.values()) - set(classes))
     if unknown_classes:
         raise ValueError(f"grouped classes missing from the class order: {unknown_classes}")
-    import re
     table = {re.sub("[^a-z0-9]+", " ", k.lower()).strip(): v for k, v in groups.items()}
     norm = normalise_text(F.coalesce(quote(label).cast("string"), F.lit("")))
     code = {c: i for i, c in enumerate(classes)}
@@ -153,7 +152,6 @@ def group_labels(df: DataFrame, label: str, groups: Mapping[str, str] = LABEL_GR
 
 def unlabelled_counts(df: DataFrame, label: str, groups: Mapping[str, str]) -> DataFrame:
     """Rows, rows without a label, rows with an unknown one."""
-    import re
     table = {re.sub("[^a-z0-9]+", " ", k.lower()).strip(): v for k, v in groups.items()}
     norm = normalise_text(F.coalesce(quote(label).cast("string"), F.lit("")))
     header = re.sub("[^a-z0-9]+", " ", label.lower()).strip()

@@ -6,7 +6,6 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from flowmine.functions.columns import seeded_order
 from flowmine.operators import guards, sampling, sessions, splits
 from flowmine.queries.common import (
     HALF_DAY, KEYED_SQL, SESSION_TABLE_SQL, SESSIONS_SQL, TIME_BLOCKS_SQL, event_split, query,
