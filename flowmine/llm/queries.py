@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowmine.llm.common import table
 from flowmine.llm.quality import quality_report
+from flowmine.llm.simhash import near_duplicates
 from flowmine.llm.registry import QUERIES, SQL, query  # noqa: F401
 
 W = r"[^\x20\x09-\x0D]+"
@@ -41,3 +43,11 @@ FROM b
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality counts and the cascade's verdict for every document."""
     return quality_report(table(spark, sf_dir, "documents"))
+
+
+@query("op5_simhash_near_dedup")
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+                        "component_id")
