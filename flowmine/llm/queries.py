@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowmine.llm.common import table
+from flowmine.llm.mixing import mix_report
 from flowmine.llm.quality import quality_report
 from flowmine.llm.substrings import removal_report
 from flowmine.llm.simhash import near_duplicates
@@ -76,3 +77,38 @@ FROM d LEFT JOIN gone_list USING (doc_id) LEFT JOIN kept USING (doc_id)
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that repeat an earlier window of 20 words, for every document."""
     return removal_report(table(spark, sf_dir, "documents")).drop("intervals")
+
+
+MIXING_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{W}')) AS size, md5('17:' || doc_id) AS key
+  FROM documents),
+s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
+r AS (
+  SELECT *, ([5, 2, 1])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight,
+    2 * source_size AS cap, CAST(sum(source_size) OVER () AS DOUBLE) * 1.5::DOUBLE AS total FROM s),
+l AS (
+  SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / weight, source NULLS LAST
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / (sum(weight) OVER (ORDER BY cap::DOUBLE / weight, source NULLS LAST
+      ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM r),
+t AS (
+  SELECT source, CAST(source_size AS BIGINT) AS source_size, coalesce(least(CAST(cap AS DOUBLE),
+    (max(level) FILTER (cap > level * weight) OVER ()) * weight), CAST(cap AS DOUBLE)) AS target FROM l),
+g AS (
+  SELECT *, CAST(floor(target + 0.5::DOUBLE) AS BIGINT) // greatest(source_size, 1) AS epochs,
+    CAST(floor(target + 0.5::DOUBLE) AS BIGINT) % greatest(source_size, 1) AS rest FROM t),
+p AS (
+  SELECT d.*, g.source_size, g.target, g.epochs, g.rest,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+  CAST(epochs * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken
+FROM p
+"""
+
+
+@query("op3_source_mix", MIXING_SQL)
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mix takes from every document."""
+    return mix_report(table(spark, sf_dir, "documents"))
