@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowmine.llm.common import table
 from flowmine.llm.mixing import mix_report
 from flowmine.llm.quality import quality_report
+from flowmine.llm.sentencepieces import encode
 from flowmine.llm.substrings import removal_report
 from flowmine.llm.simhash import near_duplicates
 from flowmine.llm.registry import QUERIES, SQL, query  # noqa: F401
@@ -112,3 +113,9 @@ FROM p
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes from every document."""
     return mix_report(table(spark, sf_dir, "documents"))
+
+
+@query("op1_sentencepiece")
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best and next best segmentations of every document, and whether decoding gives the text back."""
+    return encode(table(spark, sf_dir, "documents"))
