@@ -115,7 +115,8 @@ def nbest(edges, n: int, best: list[float] | None = None) -> list[tuple[float, t
     A state is a position with the path from there to the end; its priority is
     the best score of reaching the position plus that of the path, which is the
     score of the best whole path through it. Paths therefore come out best
-    first. Ties go to the smaller ids from the end.
+    first. Scores within 1e-7 count as tied, and ties go on with the path that
+    was extended last, so that long periodic units stay cheap.
     """
     best = best or forward(edges)
     into: list[list] = [[] for _ in best]
@@ -123,19 +124,20 @@ def nbest(edges, n: int, best: list[float] | None = None) -> list[tuple[float, t
         for j, score, ids in row:
             into[j].append((i, score, ids))
     end = len(edges)
-    heap = [(-best[end], (), end, 0.0)]
-    out = []
+    heap = [(round(-best[end], 7), 0, (), end, 0.0)]
+    out, age = [], 0
     while heap and len(out) < n:
-        rank, path, at, score = heapq.heappop(heap)
+        _, _, path, at, score = heapq.heappop(heap)
         if at == 0:
             flat: list[int] = []
             while path:
                 ids, path = path
                 flat.extend(ids)
-            out.append((-rank, tuple(flat)))
+            out.append((score, tuple(flat)))
             continue
         for i, s, ids in into[at]:
-            heapq.heappush(heap, (-(best[i] + s + score), (ids, path), i, s + score))
+            age -= 1
+            heapq.heappush(heap, (round(-(best[i] + s + score), 7), age, (ids, path), i, s + score))
     return out
 
 
