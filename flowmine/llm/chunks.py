@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,3 +36,21 @@ def range_chunks(docs: DataFrame, id_col: str, name: str, total: int, chunk_byte
     slots = cut.transform(docs.withColumn(value, F.coalesce(F.col(id_col).cast("double"), F.lit(0.0))))
     return slots.withColumn(name, F.when(F.col(id_col).isNull(), F.lit(len(bounds) + 1)).otherwise(
         F.col(f"{name}_slot")).cast("long")).drop(value, f"{name}_slot")
+
+
+def pack_sorted(hashes: np.ndarray) -> bytes:
+    """Differences of sorted hashes, byte plane by byte plane, without the planes that are all zero."""
+    gaps = np.diff(hashes, prepend=np.uint64(0))
+    planes = max(1, -(-int(gaps[1:].max()).bit_length() // 8)) if len(gaps) > 1 else 1
+    low = gaps[1:].view(np.uint8).reshape(-1, 8)[:, :planes]
+    return bytes([planes]) + gaps[:1].tobytes() + np.ascontiguousarray(low.T).tobytes()
+
+
+def unpack_sorted(packed: bytes) -> np.ndarray:
+    planes, first = packed[0], np.frombuffer(packed, np.uint64, 1, 1)
+    low = np.frombuffer(packed, np.uint8, offset=9).reshape(planes, -1)
+    gaps = np.zeros((low.shape[1] + 1, 8), np.uint8)
+    gaps[1:, :planes] = low.T
+    gaps = gaps.view(np.uint64).ravel()
+    gaps[0] = first[0]
+    return np.cumsum(gaps)

@@ -9,6 +9,7 @@ logarithm of the longest path.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,3 +54,24 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots)
+
+
+def find_roots(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Roots of the nodes ``x`` in a task's forest of parents."""
+    up = parent[x]
+    while True:
+        nxt = parent[up]
+        if np.array_equal(nxt, up):
+            return up
+        up = nxt
+
+
+def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Hang the larger root under the smaller until all pairs agree."""
+    while True:
+        ra, rb = find_roots(parent, a), find_roots(parent, b)
+        open_ = ra != rb
+        if not open_.any():
+            return
+        a, b, ra, rb = a[open_], b[open_], ra[open_], rb[open_]
+        np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))

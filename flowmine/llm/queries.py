@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowmine.llm.common import table
+from flowmine.llm.language_model import score_report
 from flowmine.llm.mixing import mix_report
 from flowmine.llm.quality import quality_report
 from flowmine.llm.sentencepieces import encode
 from flowmine.llm.substrings import removal_report
+from flowmine.llm.vectors import near_duplicate_vectors
 from flowmine.llm.simhash import near_duplicates
 from flowmine.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -119,3 +121,33 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best and next best segmentations of every document, and whether decoding gives the text back."""
     return encode(table(spark, sf_dir, "documents"))
+
+
+@query("op7_lm_score")
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word unigram and subword lattice scores of every document."""
+    return score_report(table(spark, sf_dir, "documents"))
+
+
+VECTOR_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+    ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95::DOUBLE),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+comp AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
+deg AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, CAST(coalesce(deg.n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(comp.m, vec_id)) AS component_id,
+  vec_id <= coalesce(comp.m, vec_id) AS kept
+FROM embeddings LEFT JOIN deg ON vec_id = deg.a LEFT JOIN comp ON vec_id = comp.a
+"""
+
+
+@query("op9_embedding_near_dedup", VECTOR_SQL)
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and near-duplicate group of every vector."""
+    found = near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+    return found.withColumnRenamed("id", "vec_id")

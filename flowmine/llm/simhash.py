@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowmine.llm.common import stage
-from flowmine.llm.components import connected_components
+from flowmine.llm.components import connected_components, find_roots, unite
 
 SHINGLE = 4
 RADIUS = 4
@@ -73,26 +73,6 @@ def ball_keys(fp: Column) -> Column:
     return F.array(*[seg.bitwiseXOR(F.lit(m)) for seg in (low, high) for m in flips])
 
 
-def _find(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
-    up = parent[x]
-    while True:
-        nxt = parent[up]
-        if np.array_equal(nxt, up):
-            return up
-        up = nxt
-
-
-def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Hang the larger root under the smaller until all pairs agree."""
-    while True:
-        ra, rb = _find(parent, a), _find(parent, b)
-        open_ = ra != rb
-        if not open_.any():
-            return
-        a, b, ra, rb = a[open_], b[open_], ra[open_], rb[open_]
-        np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
-
-
 def _links(run: np.ndarray, key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest of the links between fingerprints of the same run.
 
@@ -119,9 +99,9 @@ def _links(run: np.ndarray, key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray
         least = np.where(d == 0, seg[i], np.where(d == 1, np.minimum(seg[i], seg[j]),
                                                   np.minimum(seg[i] ^ first, seg[j] ^ first)))
         own = (key[i] == least) & (d <= 2)
-        _union(parent, local[i[own]], local[j[own]])
+        unite(parent, local[i[own]], local[j[own]])
         shift += 1
-    roots = _find(parent, np.arange(len(nodes)))
+    roots = find_roots(parent, np.arange(len(nodes)))
     linked = roots != np.arange(len(nodes))
     return nodes[linked], nodes[roots[linked]]
 
