@@ -167,17 +167,19 @@ def cascade(df: DataFrame, rules=RULES, text: str = "text", measured: Mapping[st
     order = order or rule_order(rule_costs(df, rules, text, sample_rows))
     by_name = {r.name: r for r in rules}
     measured = measured or {}
-    w = unused(df, "w_")
-    work = df.withColumn(w, words(F.col(text)))
 
-    def lookup(name: str) -> Column:
-        return F.col(measured[name]) if name in measured else MEASURES[name](F.col(text), F.col(w))
+    def chain(w: Column) -> Column:
+        def lookup(name: str) -> Column:
+            return F.col(measured[name]) if name in measured else MEASURES[name](F.col(text), w)
+
+        out = F.lit(None).cast("string")
+        for name in reversed(order):
+            out = F.when(by_name[name].rejects(lookup), F.lit(name)).otherwise(out)
+        return out
 
-    chain = None
-    for name in order:
-        hit = by_name[name].rejects(lookup)
-        chain = F.when(hit, F.lit(name)) if chain is None else chain.when(hit, F.lit(name))
-    return work.withColumn(verdict, chain if chain is not None else F.lit(None).cast("string")).drop(w)
+    # The words are bound inside the expression: a filter on the verdict that Spark
+    # moves below this projection then still splits each text once.
+    return df.withColumn(verdict, let(words(F.col(text)), chain))
 
 
 def keep_good(df: DataFrame, text: str = "text", sample_rows: int = 1000) -> DataFrame:
