@@ -16,6 +16,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowmine.functions.columns import hash_slice
+from flowmine.session import cut_lineage
+
+#: Rows up to which a small table is broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A summary to join with: computed once, broadcast if it has at most ``limit`` rows, joined by shuffle if not."""
+    small = cut_lineage(df)
+    return F.broadcast(small) if small.count() <= limit else small
 
 
 def time_block(t_us: Column, seconds: int) -> Column:
@@ -74,7 +84,7 @@ def ordered_runs(df: DataFrame, group: Sequence[str], order: Sequence[str], bloc
     the run) and ``piece_no``, which numbers the pieces that remain when a run is
     also cut every ``cap`` rows ("block") or at each row past it ("singleton").
 
-    The source is read twice: once for the rows, once for a summary per
+    Group and block must not be NULL. The source is read twice: once for the rows, once for a summary per
     (group, block) that says how many rows and breaks each block contributes.
     """
     inside = Window.partitionBy(*group, block).orderBy(*order)

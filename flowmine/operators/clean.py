@@ -9,47 +9,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowmine.functions.columns import INF, any_of, lookup, normalise_text, quote
-from flowmine.operators.blocks import add_running
+from flowmine.operators.blocks import add_running, bounded
+from flowmine.session import cut_lineage
 from flowmine.settings import (
     AFTERNOON_TOKENS, CLASS_ORDER, DST_PORT_COLUMNS, IDENTIFIER_COLUMNS, LABEL_GROUPS, UNLABELLED,
     WEEKDAYS)
 
 # Layouts of a time stamp, day first and month first.
-DAY_FIRST = ["d/M/yyyy H:m:s", "d/M/yyyy H:m", "yyyy-M-d H:m:s"]
-MONTH_FIRST = ["M/d/yyyy H:m:s", "M/d/yyyy H:m", "yyyy-M-d H:m:s"]
+DAY_FIRST = ["d/M/yyyy H:m:s", "d/M/yyyy h:m:s a", "d/M/yyyy H:m", "d/M/yyyy h:m a", "yyyy-M-d H:m:s"]
+MONTH_FIRST = ["M/d/yyyy H:m:s", "M/d/yyyy h:m:s a", "M/d/yyyy H:m", "M/d/yyyy h:m a", "yyyy-M-d H:m:s"]
 
 
 # -- damaged numeric columns -------------------------------------------------
 def numeric_rates(df: DataFrame, columns: Sequence[str], source: str) -> DataFrame:
-    """Long table (source, column, cells, parsed): how much of a text column is numeric."""
-    parts = []
+    """Long table (source, column, cells, filled, parsed): how much of a text column is numeric.
+
+    ``cells`` are all rows, ``filled`` those with a value.
+    """
+    parts = [F.count(F.lit(1)).alias("\u0001rows")]
     for c in columns:
         text = F.trim(quote(c).cast("string"))
         parts += [F.count(text).alias(f"{c}\u0001n"),
                   F.count(text.try_cast("double")).alias(f"{c}\u0001p")]
     wide = df.groupBy(source).agg(*parts)
-    entries = F.array(*[F.struct(F.lit(c).alias("column"), quote(f"{c}\u0001n").alias("cells"),
+    entries = F.array(*[F.struct(F.lit(c).alias("column"), quote(f"{c}\u0001n").alias("filled"),
                                  quote(f"{c}\u0001p").alias("parsed")) for c in columns])
-    return (wide.select(source, F.explode(entries).alias("e"))
-            .select(source, "e.column", "e.cells", "e.parsed"))
+    return (wide.select(source, quote("\u0001rows").alias("cells"), F.explode(entries).alias("e"))
+            .select(source, "e.column", "cells", "e.filled", "e.parsed"))
 
 
 def repair_numeric(df: DataFrame, columns: Sequence[str], source: str,
                    min_rate: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """Text columns that are mostly numbers in a file become numbers there.
 
-    Cells that do not parse turn to NULL; a column that is mostly text in a file
-    is left as it is. A column that is numeric in every file gets type double.
-    Returns the table and the report (source, column, cells, parsed, numeric).
+    Cells that do not parse turn to NULL where at least ``min_rate`` of all
+    cells, empty ones included, are numbers, or every filled cell is one; any
+    other column is left as it is. A column that is numeric in every file gets
+    type double. Returns the table and the report (source, column, cells,
+    filled, parsed, numeric).
     """
-    report = numeric_rates(df, columns, source).withColumn(
-        "numeric", (F.col("cells") == 0) | (F.col("parsed") >= F.lit(min_rate) * F.col("cells")))
+    report = cut_lineage(numeric_rates(df, columns, source).withColumn(
+        "numeric", (F.col("parsed") == F.col("filled")) | (F.col("parsed") >= F.lit(min_rate) * F.col("cells"))))
     everywhere = {r["column"] for r in report.groupBy("column").agg(
         F.bool_and("numeric").alias("all")).filter("all").collect()}
     # One row per file, a few flags each.
     flags = report.groupBy(source).agg(
         F.map_from_entries(F.collect_list(F.struct("column", "numeric"))).alias("__numeric"))
-    joined = df.join(flags, source)
+    joined = df.join(bounded(flags), source)
     out = []
     for c in df.columns:
         if c not in columns:
@@ -89,22 +95,32 @@ def _parse(c: Column, layouts: Sequence[str]) -> Column:
 
 def fix_timestamps(df: DataFrame, text: str, source: str, name: str = "ts",
                    tokens: Sequence[str] = AFTERNOON_TOKENS, shift_h: int = 12,
-                   below_h: int = 12) -> DataFrame:
+                   below_h: int = 12, file_name: str | None = None) -> DataFrame:
     """Read day-first stamps; a file that yields none is read month-first.
 
     Hours below 12 in files named after the afternoon move by 12 hours, since
-    their clock has no AM/PM.
+    their clock has no AM/PM. ``source`` tells files apart; ``file_name`` holds
+    their names where that is another column.
     """
     usable = df.groupBy(source).agg(F.count(_parse(quote(text), DAY_FIRST)).alias("__day_first"))
     ts = F.when(F.col("__day_first") > 0, _parse(quote(text), DAY_FIRST)).otherwise(
         _parse(quote(text), MONTH_FIRST))
-    late = is_afternoon(quote(source), tokens) & (F.hour("__ts") < below_h)
-    return (df.join(usable, source).withColumn("__ts", ts)
+    late = is_afternoon(quote(file_name or source), tokens) & (F.hour("__ts") < below_h)
+    return (df.join(bounded(usable), source).withColumn("__ts", ts)
             .withColumn(name, F.when(late, F.col("__ts") + F.make_dt_interval(hours=F.lit(shift_h)))
                         .otherwise(F.col("__ts")))
             .drop("__ts", "__day_first"))
 
 
+def fill_clocks(df: DataFrame, source: str, row_in_source: str, start: str, name: str = "ts",
+                file_name: str | None = None) -> DataFrame:
+    """Stand-in time for all rows of the files in which no row has a time; other files keep theirs."""
+    usable = df.groupBy(source).agg(F.count(name).alias("__usable"))
+    stand_in = synthesise_timestamps(df.join(bounded(usable), source), file_name or source, row_in_source, start, "__made")
+    return (stand_in.withColumn(name, F.when(F.col("__usable") == 0, F.col("__made")).otherwise(F.col(name)))
+            .drop("__usable", "__made"))
+
+
 def synthesise_timestamps(df: DataFrame, source: str, row_in_source: str, start: str,
                           name: str = "ts") -> DataFrame:
     """Stand-in time: start, plus weekday, plus half a day, plus one second per row."""
@@ -203,12 +219,15 @@ def drop_copies(df: DataFrame, content: Sequence[str], order: Sequence[str]) ->
     """One row per distinct content, the first in order.
 
     A grouped minimum, so copies are folded before the shuffle and a row with a
-    great many copies costs no more than another.
+    great many copies costs no more than another. Missing values of the order
+    come last.
     """
     rest = [c for c in df.columns if c not in content]
     lead = list(order) + [c for c in rest if c not in order]
+    flags = [quote(c).isNull().alias(f"__null{i}") for i, c in enumerate(order)]
+    ranked = [x for i, c in enumerate(order) for x in (flags[i], quote(c))]
     kept = df.groupBy(*[quote(c) for c in content]).agg(
-        F.min(F.struct(*[quote(c) for c in lead])).alias("__first"))
+        F.min(F.struct(*ranked, *[quote(c) for c in lead[len(order):]])).alias("__first"))
     return kept.select(*[quote(c) if c in content else F.col("__first")[c].alias(c) for c in df.columns])
 
 

@@ -198,12 +198,14 @@ def fit_sequence(d: TrainingData, s: ModelSettings) -> Fitted:
 
 
 def graph_features(df: DataFrame, features: Sequence[str], session: str, ts: str, host: str, hops: int,
-                   max_in: int, max_gap_s: float, max_edges: int, label: str | None = None) -> DataFrame:
-    """Per session its mean features and their propagated values."""
+                   max_in: int, max_gap_s: float, max_edges: int | None = None, label: str | None = None) -> DataFrame:
+    """Per session its mean features and their propagated values, over all edges unless ``max_edges`` is given."""
     # Both are read several times below, and are far smaller than the rows.
     nodes = cut_lineage(graph.session_nodes(df, session, ts, features, label))
     edges = cut_lineage(graph.session_edges(df, session, ts, host, max_in, max_gap_s))
-    edges = graph.limit_edges(edges, max_edges)
+    if max_edges:
+        log.warning("only the first %d of %d session edges are used", max_edges, edges.count())
+        edges = graph.limit_edges(edges, max_edges)
     h = graph.propagate(nodes, edges, session, features, hops, "causal")
     far = h.select(session, F.array(*[quote(c) for c in features]).alias("__far"))
     own = nodes.select(session, F.array(*[quote(c) for c in features]).alias("__own"),

@@ -16,14 +16,14 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowmine.functions.columns import bins_below, literal_map, quote, seeded_order
+from flowmine.functions.columns import bins_below, hash_slice, literal_map, quote, seeded_order
 from flowmine.operators import metrics
 from flowmine.operators.blocks import add_running
 from flowmine.operators.fitted import medians
 from flowmine.operators.quantiles import exact_quantiles
 from flowmine.operators.sampling import holdout, stratified_sample
 from flowmine.operators.windows import session_windows
-from flowmine.session import shared_folder
+from flowmine.session import cut_lineage, shared_folder
 from flowmine.settings import SelectionSettings
 
 RANKERS: dict[str, Callable[..., DataFrame]] = {}
@@ -143,8 +143,7 @@ def mutual_information(df: DataFrame, features: Sequence[str], label: str, row_i
 
 @register_ranker("mi")
 def rank_information(train, features, label, row_id, settings=SelectionSettings(), seed=42) -> DataFrame:
-    s = stratified_sample(train, label, settings.mi_max_rows, seed, [row_id])
-    return mutual_information(s, features, label, row_id, settings.mi_neighbors)
+    return mutual_information(train, features, label, row_id, settings.mi_neighbors)
 
 
 def binned_information(train: DataFrame, features: Sequence[str], label: str, bins: int = 10) -> DataFrame:
@@ -287,10 +286,10 @@ def mean_shapley(model, df: DataFrame, n_features: int, weights: Sequence[float]
 
 @register_ranker("shap")
 def rank_shapley(train, features, label, row_id, settings=SelectionSettings(), seed=42) -> DataFrame:
-    """Mean absolute Shapley value of boosted trees over rows and classes."""
+    """Mean absolute Shapley value of boosted trees over all rows and classes; the fit is on a bounded sample."""
     fit_rows = stratified_sample(train, label, settings.shap_fit_max_rows, seed, [row_id])
     models = _boosters(fit_rows, features, label, row_id, None, settings.shap_trees, 5, seed)
-    shown = with_vector(stratified_sample(fit_rows, label, settings.shap_explain_rows, seed, [row_id], 5), features)
+    shown = with_vector(train, features)
     total = np.zeros(len(features))
     for m in models.values():
         for r in mean_shapley(m, shown, len(features)).collect():
@@ -311,10 +310,15 @@ def permutation_importance(model, held: DataFrame, features: Sequence[str], labe
     variants = F.array(*[F.struct(F.lit(i).alias("f"), F.lit(r).alias("rep"))
                          for i in range(len(features)) for r in range(repeats)])
     rows = base.select("*", F.explode(variants).alias("v")).select(row_id, label, "x", "v.f", "v.rep")
-    by_a = Window.partitionBy("f", "rep").orderBy(seeded_order(f"{seed}a", F.col("f"), F.col("rep"), F.col(row_id)))
-    by_b = Window.partitionBy("f", "rep").orderBy(seeded_order(f"{seed}b", F.col("f"), F.col("rep"), F.col(row_id)))
-    left = rows.withColumn("at", F.row_number().over(by_a))
-    right = rows.select("f", "rep", F.get("x", F.col("f")).alias("swap"), F.row_number().over(by_b).alias("at"))
+
+    def placed(df: DataFrame, name: str) -> DataFrame:
+        """Position of each row in a random order of its variant, from slices of the order."""
+        keyed = df.withColumn("__d", seeded_order(f"{seed}{name}", F.col("f"), F.col("rep"), F.col(row_id)))
+        keyed = keyed.withColumn("__slice", hash_slice(F.col("__d")))
+        return add_running(keyed, ["f", "rep"], ["__d"], "__slice", {"at": F.lit(1).cast("long")}).drop("__d", "__slice")
+
+    left = placed(rows, "a")
+    right = placed(rows.select(row_id, "f", "rep", F.get("x", F.col("f")).alias("swap")), "b").drop(row_id)
     mixed = left.join(right, ["f", "rep", "at"]).withColumn(
         "x", F.transform("x", lambda v, i: F.when(i == F.col("f"), F.col("swap")).otherwise(v)))
     both = mixed.select("f", "rep", label, "x").unionByName(
@@ -342,11 +346,14 @@ def fourier_features(n_in: int, n_out: int, gamma: float, seed: int) -> Callable
 
 @register_ranker("pi_svm")
 def rank_permutation(train, features, label, row_id, settings=SelectionSettings(), seed=42) -> DataFrame:
-    """Permutation drop of a linear SVM on kernel features, on held-out train rows."""
-    s = stratified_sample(train, label, settings.svm_max_rows, seed, [row_id], 4)
-    s = holdout(s, label, settings.svm_holdout_frac, seed, [row_id]).withColumn("__y", F.col(label).cast("double"))
+    """Permutation drop of a linear SVM on kernel features, on all held-out train rows.
+
+    Only the fit is on a sample (``svm_max_rows`` of the other rows).
+    """
+    s = cut_lineage(holdout(train.select(row_id, label, *[quote(c) for c in features]), label,
+                            settings.svm_holdout_frac, seed, [row_id]).withColumn("__y", F.col(label).cast("double")))
     lift = fourier_features(len(features), 100, 1.0 / max(len(features), 1), seed)
-    fit = s.filter("not holdout").withColumn("x", F.array(*[quote(c).cast("double") for c in features]))
+    fit = stratified_sample(s.filter("not holdout"), label, settings.svm_max_rows, seed, [row_id], 4).withColumn("x", F.array(*[quote(c).cast("double") for c in features]))
     fit = lift(balanced_weights(fit, label)).select("features", "__y", "weight").persist()
     model = OneVsRest(classifier=LinearSVC(maxIter=30, regParam=0.001), labelCol="__y", weightCol="weight",
                       parallelism=4).fit(fit)
@@ -384,9 +391,13 @@ def mlp_input_gradients(parts, x: np.ndarray) -> np.ndarray:
 
 def rank_sequence(train, features, label, row_id, settings=SelectionSettings(), seed=42, session="session_id",
                   ts="ts") -> DataFrame:
-    """Mean |x * dp/dx| of a network over session windows, summed over window steps."""
-    win = session_windows(train, session, ts, [row_id], features, settings.window)
-    s = stratified_sample(win.select(row_id, label, "window"), label, settings.sequence_max_windows, seed, [row_id])
+    """Mean |x * dp/dx| of a network over all session windows, summed over window steps.
+
+    Only the fit is on a sample (``sequence_max_windows``).
+    """
+    win = cut_lineage(session_windows(train, session, ts, [row_id], features, settings.window)
+                      .select(row_id, label, "window"))
+    s = stratified_sample(win, label, settings.sequence_max_windows, seed, [row_id])
     s = s.select(F.col(label).cast("double").alias("__y"), F.flatten("window").alias("x")).withColumn(
         "features", array_to_vector("x"))
     n_classes = int(max(labels_of(s, "__y"))) + 1
@@ -402,7 +413,8 @@ def rank_sequence(train, features, label, row_id, settings=SelectionSettings(),
             g = np.abs(mlp_input_gradients(parts, x) * x[:, None, :]).sum(1) if len(x) else np.zeros((0, layers[0]))
             yield pd.DataFrame({"pos": np.arange(k), "total": g.reshape(len(x), -1, k).sum((0, 1)), "n": len(x)})
 
-    got = {r["pos"]: r["s"] for r in s.select("x").mapInPandas(effect, "pos int, total double, n long").groupBy("pos")
+    shown = win.select(F.flatten("window").alias("x"))
+    got = {r["pos"]: r["s"] for r in shown.mapInPandas(effect, "pos int, total double, n long").groupBy("pos")
            .agg((F.sum("total") / F.sum("n")).alias("s")).collect()}
     return score_table(train, {c: got.get(i, 0.0) for i, c in enumerate(features)})
 

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowmine.functions.columns import quote
-from flowmine.operators.sampling import sample_rows
 from flowmine.settings import SelectionSettings
 
 
@@ -32,12 +31,10 @@ def column_digests(df: DataFrame, row_id: str, columns: Sequence[str]) -> dict[s
     return {c: (row[f"a{i}"], row[f"b{i}"]) for i, c in enumerate(columns)}
 
 
-def rank_correlation(df: DataFrame, columns: Sequence[str], row_id: str, sample: int | None,
-                     seed: int = 42) -> np.ndarray:
-    """Spearman matrix (features squared); undefined entries are 0."""
-    rows = df if sample is None else sample_rows(df, sample, seed, row_id)
+def rank_correlation(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """Spearman matrix over all rows (features squared); undefined entries are 0."""
     vec = VectorAssembler(inputCols=[f"f{i}" for i in range(len(columns))], outputCol="v").transform(
-        rows.select(*[quote(c).cast("double").alias(f"f{i}") for i, c in enumerate(columns)]))
+        df.select(*[quote(c).cast("double").alias(f"f{i}") for i, c in enumerate(columns)]))
     m = Correlation.corr(vec.select("v"), "v", "spearman").first()[0].toArray()
     return np.nan_to_num(m, nan=0.0)
 
@@ -69,9 +66,7 @@ class RedundancyFilter:
                     self.dropped[c] = ("duplicate", t, None)
         cols = [c for c in cols if c not in self.dropped]
         if len(cols) > 1 and s.spearman_threshold < 1.0:
-            n = train.count()
-            strong = np.abs(rank_correlation(
-                train, cols, row_id, s.spearman_sample_rows if n > s.spearman_sample_rows else None, seed))
+            strong = np.abs(rank_correlation(train, cols))
             for j in range(1, len(cols)):
                 # The strongest earlier partner counts, even if it was dropped itself.
                 partner = int(np.argmax(strong[:j, j]))

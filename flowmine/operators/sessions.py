@@ -13,6 +13,10 @@ from flowmine.session import cut_lineage
 from flowmine.settings import SessionSettings
 
 
+#: Stands for a missing time: later than any other.
+NEVER = (1 << 63) - 1
+
+
 def communication_key(mode: str, src: Column, dst: Column, src_port: Column | None = None,
                       dst_port: Column | None = None, protocol: Column | None = None) -> Column:
     """Key shared by both directions of a conversation.
@@ -53,19 +57,23 @@ def sessionize(df: DataFrame, key: str, ts: str, tie: Sequence[str],
     A new one starts when the gap to the previous row of the key exceeds the
     timeout, or when ``max_flows`` rows are reached. ``cap_mode="block"`` starts
     a new session every ``max_flows`` rows of a run; ``"singleton"`` makes each
-    row beyond the cap a session of its own.
+    row beyond the cap a session of its own. Rows without a time come after
+    all others of their key and go on with its last session.
     """
     timeout, cap = settings.timeout_s or 0, settings.max_flows or 0
     if timeout <= 0 and cap <= 0:
         return df.withColumn(name, F.col(key))
     limit = F.lit(float(timeout)) if timeout > 0 else F.lit(float("inf"))
-    work = (df.withColumn("__us", micros(F.col(ts)))
-            .withColumn("__blk", time_block(F.col("__us"), settings.block_s)))
+    never = F.lit(NEVER)
+    us = micros(F.col(ts))
+    work = (df.withColumn("__k", F.coalesce(F.col(key).cast("string"), F.lit("")))
+            .withColumn("__us", F.coalesce(us, never))
+            .withColumn("__blk", F.coalesce(time_block(us, settings.block_s), never)))
     runs = ordered_runs(
-        work, [key], ["__us", *tie], "__blk", F.col("__us"),
-        lambda before, now: (now - before) / F.lit(1e6) > limit, cap, settings.cap_mode)
+        work, ["__k"], ["__us", *tie], "__blk", F.col("__us"),
+        lambda before, now: (now != never) & ((now - before) / F.lit(1e6) > limit), cap, settings.cap_mode)
     return (runs.withColumn(name, F.concat_ws("#", F.col(key), F.col("piece_no").cast("string")))
-            .drop("__us", "__blk", "run_no", "run_pos", "piece_no"))
+            .drop("__k", "__us", "__blk", "run_no", "run_pos", "piece_no"))
 
 
 def run_length_sessions(df: DataFrame, source: str, row_in_source: str, keys: Sequence[Column],

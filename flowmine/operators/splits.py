@@ -21,6 +21,10 @@ from flowmine.settings import SplitSettings
 
 BLOCK_S = 3600
 
+#: Group of rows or sessions without a class.
+NO_CLASS = "\u0000"
+
+
 
 @dataclass
 class TimeBlocks:
@@ -196,13 +200,17 @@ def boundary_report(split_df: DataFrame, blocks: TimeBlocks, session: str, ts: s
 
 def stratified_session_split(df: DataFrame, session: str, ts: str, label: str,
                              classes: Sequence[str], settings: SplitSettings = SplitSettings()) -> DataFrame:
-    """Whole sessions in random order, filled per class to the wanted shares."""
+    """Whole sessions in random order, filled per class to the wanted shares.
+
+    Sessions without a known class are a group of their own.
+    """
     sessions = (session_table(df, session, ts, label, classes)
+                .withColumn("__group", F.coalesce("primary_class", F.lit(NO_CLASS)))
                 .withColumn("__d", seeded_order(settings.seed, F.col(session)))
                 .withColumn("__slice", hash_slice(F.col("__d"))))
-    cuts = _share_cuts(sessions, "primary_class", F.col("n_flows"), settings)
+    cuts = _share_cuts(sessions, "__group", F.col("n_flows"), settings)
     d = F.struct("__d", session)
-    placed = sessions.join(F.broadcast(cuts), "primary_class").select(
+    placed = sessions.join(F.broadcast(cuts), "__group").select(
         session, F.col("primary_class").alias("assign_group"),
         F.when(d <= F.col("c1"), "train").when(d <= F.col("c2"), "val").otherwise("test").alias("split"))
     return df.join(placed, session)
@@ -226,7 +234,12 @@ def _share_cuts(rows: DataFrame, group: str, weight: Column, settings: SplitSett
 
 def stratified_flow_split(df: DataFrame, row_id: str, label: str,
                           settings: SplitSettings = SplitSettings()) -> DataFrame:
-    """Single rows at random per class; tears sessions apart on purpose."""
+    """Single rows at random per class; tears sessions apart on purpose.
+
+    Rows without a label are a class of their own.
+    """
+    group, label = label, "__group"
+    df = df.withColumn(label, F.coalesce(F.col(group).cast("string"), F.lit(NO_CLASS)))
     rows = df.select(row_id, label).withColumn("__d", seeded_order(settings.seed, F.col(row_id)))
     rows = rows.withColumn("__slice", hash_slice(F.col("__d")))
     counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
@@ -247,7 +260,7 @@ def stratified_flow_split(df: DataFrame, row_id: str, label: str,
             .withColumn("split", F.when(F.col("__n") < 3, "train")
                         .when(d <= F.coalesce(F.col("c1"), F.lit("")), "train")
                         .when(d <= F.coalesce(F.col("c2"), F.lit("")), "val").otherwise("test"))
-            .drop("__n", "c1", "c2"))
+            .drop("__n", "c1", "c2", "__group"))
 
 
 def leave_family_out_split(df: DataFrame, session: str, ts: str, label: str, row_id: str,

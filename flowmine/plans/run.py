@@ -16,7 +16,7 @@ from flowmine.operators import (
 from flowmine.operators.fitted import FlowStates, Preprocessor
 from flowmine.operators.sessions import communication_key, sessionize
 from flowmine.session import cut_lineage
-from flowmine.settings import SENTINEL_COLUMNS, Settings
+from flowmine.settings import SENTINEL_COLUMNS, SURROGATE_START, Settings
 from flowmine.sources import files
 
 
@@ -61,33 +61,34 @@ def prepare(spark: SparkSession, folder: str, settings: Settings = Settings(),
          "src_port": pick("Source Port", "Src Port"), "dst_port": pick("Destination Port", "Dst Port"),
          "protocol": pick("Protocol"), "ts": pick("Timestamp"), "label": pick("Label"), **(columns or {})}
     named = {v for v in c.values() if v} - {c["dst_port"], c["protocol"]}
-    text = {*named, "Flow ID", "source_file", "row_in_source"}
+    text = {*named, "Flow ID", "source_file", "source_path", "row_in_source"}
     numeric = [x for x in have if x not in text]
     # Unlabelled rows go first: they are mostly stray header lines.
     rows = clean.group_labels(raw, c["label"], classes=settings.classes)
-    rows, _ = clean.repair_numeric(rows, numeric, "source_file")
+    rows, _ = clean.repair_numeric(rows, numeric, "source_path")
     if c["ts"]:
-        rows = clean.fix_timestamps(rows, c["ts"], "source_file")
+        rows = clean.fix_timestamps(rows, c["ts"], "source_path", file_name="source_file")
     else:
-        rows = clean.synthesise_timestamps(rows, "source_file", "row_in_source", "2017-07-03 00:00:00")
-    rows = rows.withColumn("row_id", F.concat_ws(":", "source_file", F.col("row_in_source").cast("string")))
+        rows = rows.withColumn("ts", F.lit(None).cast("timestamp"))
+    rows = clean.fill_clocks(rows, "source_path", "row_in_source", SURROGATE_START, file_name="source_file")
+    rows = rows.withColumn("row_id", F.concat_ws(":", "source_path", F.col("row_in_source").cast("string")))
     opt = lambda k: quote(c[k]) if c[k] else None
     s = settings.session
     if c["src"] and c["dst"]:
         rows = rows.withColumn("__key", communication_key(
             s.key_mode, opt("src"), opt("dst"), opt("src_port"), opt("dst_port"), opt("protocol")))
-        rows = sessionize(rows, "__key", "ts", ["source_file", "row_in_source"], s).drop("__key")
+        rows = sessionize(rows, "__key", "ts", ["source_path", "row_in_source"], s).drop("__key")
         rows = rows.withColumn("src_ip", quote(c["src"]))
     else:
         from flowmine.operators.sessions import run_length_sessions
         keys = [quote(c[k]) for k in ("dst_port", "protocol") if c[k]]
-        rows = run_length_sessions(rows, "source_file", "row_in_source", keys, settings.temporal.max_sequence_length)
-        rows = rows.withColumn("src_ip", F.col("source_file"))
+        rows = run_length_sessions(rows, "source_path", "row_in_source", keys, settings.temporal.max_sequence_length)
+        rows = rows.withColumn("src_ip", F.col("source_path"))
     # Copies are judged with the session in place, as their times and text are.
-    order = ["ts", "source_file", "row_in_source", "row_id"]
+    order = ["ts", "source_path", "row_in_source", "source_file", "row_id"]
     rows = clean.drop_copies(rows, [x for x in rows.columns if x not in order], order)
     features = clean.feature_columns(
-        [x for x in have], [*named, "source_file", "row_in_source"])
+        [x for x in have], [*named, "source_file", "source_path", "row_in_source"])
     types = dict(rows.dtypes)
     features = [f for f in features if types[f] == "double"]
     rows = clean.blank_negative(clean.blank_infinite(rows, features), features, SENTINEL_COLUMNS)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from flowmine.functions.columns import normalise_text
 from flowmine.operators import clean, fitted, reports
+from flowmine.settings import SURROGATE_START
 from flowmine.queries.common import TIME_BLOCKS_SQL, event_split, query
 from flowmine.sources.views import EVENT_FLOWS_SQL, event_flows, table
 
@@ -132,7 +133,7 @@ def _weekday(spark, sf):
 @query("surrogate_time", f"""
 WITH {ORDER_FILES_SQL},
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY row_) - 1 AS p FROM f)
-SELECT row_ AS row, epoch_us(TIMESTAMP '2017-07-03 00:00:00') + 1000000 * (p +
+SELECT row_ AS row, epoch_us(TIMESTAMP '2017-07-03 09:00:00') + 1000000 * (p +
   CASE WHEN contains(lower(source), 'monday') THEN 0 WHEN contains(lower(source), 'tuesday') THEN 86400
   WHEN contains(lower(source), 'wednesday') THEN 172800 WHEN contains(lower(source), 'thursday') THEN 259200
   WHEN contains(lower(source), 'friday') THEN 345600 ELSE 0 END +
@@ -140,13 +141,13 @@ SELECT row_ AS row, epoch_us(TIMESTAMP '2017-07-03 00:00:00') + 1000000 * (p +
 def _surrogate(spark, sf):
     d = order_files(spark, sf).withColumn("part", F.floor(F.col("row") / 1000))
     d = clean.number_rows(d, "source", "part", "row")
-    return clean.synthesise_timestamps(d, "source", "row_in_source", "2017-07-03 00:00:00").select(
+    return clean.synthesise_timestamps(d, "source", "row_in_source", SURROGATE_START).select(
         "row", F.unix_micros("ts").alias("us"))
 
 
 @query("numeric_repair", f"""
 WITH {ORDER_FILES_SQL},
-r AS (SELECT *, count(try_cast(mixed AS DOUBLE)) OVER (PARTITION BY source) >= 0.5 * count(mixed) OVER (PARTITION BY source) AS num FROM f)
+r AS (SELECT *, count(try_cast(mixed AS DOUBLE)) OVER (PARTITION BY source) >= 0.5 * count(*) OVER (PARTITION BY source) AS num FROM f)
 SELECT row_ AS row, try_cast(price AS DOUBLE) AS price,
   CASE WHEN num AND try_cast(mixed AS DOUBLE) IS NULL THEN NULL ELSE mixed END AS mixed FROM r""")
 def _repair(spark, sf):
@@ -156,13 +157,77 @@ def _repair(spark, sf):
 
 @query("numeric_repair_report", f"""
 WITH {ORDER_FILES_SQL},
-l AS (SELECT source, 'price' AS "column", count(price) AS cells, count(try_cast(price AS DOUBLE)) AS parsed FROM f GROUP BY source
-  UNION ALL SELECT source, 'mixed', count(mixed), count(try_cast(mixed AS DOUBLE)) FROM f GROUP BY source)
-SELECT *, cells = 0 OR parsed >= 0.5 * cells AS "numeric" FROM l""")
+l AS (SELECT source, 'price' AS "column", count(*) AS cells, count(price) AS filled, count(try_cast(price AS DOUBLE)) AS parsed
+  FROM f GROUP BY source
+  UNION ALL SELECT source, 'mixed', count(*), count(mixed), count(try_cast(mixed AS DOUBLE)) FROM f GROUP BY source)
+SELECT *, parsed = filled OR parsed >= 0.5 * cells AS "numeric" FROM l""")
 def _repair_report(spark, sf):
     return clean.repair_numeric(order_files(spark, sf), ["price", "mixed"], "source")[1]
 
 
+SPARSE_SQL = ORDER_FILES_SQL + """,
+sp AS (SELECT row_, source, CASE WHEN row_ % 5 < 2 THEN NULL WHEN row_ % 5 = 2 THEN mixed ELSE price END AS sparse FROM f),
+sr AS (SELECT source, count(*) AS cells, count(sparse) AS filled, count(try_cast(sparse AS DOUBLE)) AS parsed FROM sp GROUP BY source)
+"""
+
+
+def _sparse(spark, sf):
+    """Order files with a column that is empty in two of five rows."""
+    k = F.col("row") % 5
+    return order_files(spark, sf).select("row", "source", F.when(k == 2, F.col("mixed")).when(k > 2, F.col("price")).alias("sparse"))
+
+
+@query("numeric_repair_nulls", f"""
+WITH {SPARSE_SQL}
+SELECT sp.row_ AS row, CASE WHEN (parsed = filled OR parsed >= 0.5 * cells) AND try_cast(sparse AS DOUBLE) IS NULL
+  THEN NULL ELSE sparse END AS sparse
+FROM sp JOIN sr USING (source)""")
+def _repair_nulls(spark, sf):
+    return clean.repair_numeric(_sparse(spark, sf), ["sparse"], "source")[0].select("row", F.col("sparse").cast("string").alias("sparse"))
+
+
+@query("numeric_repair_nulls_report", f"""
+WITH {SPARSE_SQL}
+SELECT source, 'sparse' AS "column", cells, filled, parsed, parsed = filled OR parsed >= 0.5 * cells AS "numeric" FROM sr""")
+def _repair_nulls_report(spark, sf):
+    return clean.repair_numeric(_sparse(spark, sf), ["sparse"], "source")[1]
+
+
+@query("timestamp_repair_ampm", f"""
+WITH {ORDER_FILES_SQL},
+a AS (SELECT row_, source, CASE row_ % 4 WHEN 0 THEN strftime(clock, '%d/%m/%Y %I:%M:%S %p') WHEN 1 THEN strftime(clock, '%d/%m/%Y %I:%M %p')
+    WHEN 2 THEN NULL ELSE 'at ' || strftime(clock, '%H') END AS text, date_trunc('minute', clock) AS stamp
+  FROM (SELECT f.row_, f.source, b.clock FROM f JOIN b ON f.row_ = b.o_orderkey))
+SELECT row_ AS row, epoch_us(CASE WHEN row_ % 4 > 1 THEN NULL WHEN contains(lower(source), 'afternoon') AND hour(stamp) < 12
+  THEN stamp + INTERVAL 12 HOURS ELSE stamp END) AS us FROM a""")
+def _ampm(spark, sf):
+    k = F.col("o_orderkey")
+    files = order_files(spark, sf).select("row", "source")
+    o = table(spark, sf, "orders").withColumn("clock", F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(
+        F.lit(0), (k % 12).cast("int"), (k % 60).cast("int")))
+    text = F.when(k % 4 == 0, F.date_format("clock", "dd/MM/yyyy hh:mm:ss a")).when(
+        k % 4 == 1, F.date_format("clock", "dd/MM/yyyy hh:mm a")).when(k % 4 == 3, F.concat(F.lit("at "), F.date_format("clock", "HH")))
+    stamped = o.select(k.alias("row"), text.alias("text")).join(files, "row")
+    return clean.fix_timestamps(stamped, "text", "source").select("row", F.unix_micros("ts").alias("us"))
+
+
+@query("surrogate_time_per_file", f"""
+WITH {ORDER_FILES_SQL},
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY row_) - 1 AS p,
+  CASE WHEN source LIKE 'Monday%' THEN NULL WHEN source LIKE 'Tuesday%' AND row_ % 2 = 0 THEN NULL
+    ELSE TIMESTAMP '2020-01-01 00:00:00' + to_seconds(row_) END AS ts FROM f)
+SELECT row_ AS row, epoch_us(CASE WHEN count(ts) OVER (PARTITION BY source) > 0 THEN ts
+  ELSE TIMESTAMP '2017-07-03 09:00:00' + to_seconds(p + CASE WHEN source LIKE 'Tuesday%' THEN 86400 ELSE 0 END
+    + CASE WHEN contains(lower(source), 'afternoon') THEN 43200 ELSE 0 END) END) AS us
+FROM r""")
+def _surrogate_per_file(spark, sf):
+    d = order_files(spark, sf).withColumn("part", F.floor(F.col("row") / 1000))
+    made = F.timestamp_seconds(F.lit(1577836800) + F.col("row"))
+    lost = F.col("source").startswith("Monday") | (F.col("source").startswith("Tuesday") & (F.col("row") % 2 == 0))
+    d = clean.number_rows(d, "source", "part", "row").withColumn("ts", F.when(~lost, made))
+    return clean.fill_clocks(d, "source", "row_in_source", SURROGATE_START).select("row", F.unix_micros("ts").alias("us"))
+
+
 @query("aligned_union", """
 SELECT o_orderkey AS key, o_totalprice AS amount, CAST(NULL AS VARCHAR) AS segment, 'orders' AS source FROM orders
 UNION ALL SELECT c_custkey, c_acctbal, c_mktsegment, 'customer' FROM customer

@@ -59,7 +59,7 @@ r AS (SELECT {', '.join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION
 {' UNION ALL '.join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS rho FROM r" for i, a in enumerate((*FEATURES, 'price_like')) for b in (*FEATURES, 'price_like')[i + 1:])}""")
 def _spearman(spark, sf):
     cols = [*FEATURES, "price_like"]
-    m = redundancy.rank_correlation(line_flows(spark, sf), cols, "row_id", None)
+    m = redundancy.rank_correlation(line_flows(spark, sf), cols)
     return spark.createDataFrame([(a, b, round(float(m[i, j]), 6)) for i, a in enumerate(cols)
                                   for j, b in enumerate(cols) if j > i], "a string, b string, rho double")
 

@@ -33,6 +33,18 @@ def _timeout(spark, sf):
     return sessions_of(spark, sf).select("row_id", "session_id")
 
 
+@query("session_timeout_missing_time", f"""
+WITH {KEYED_SQL},
+m AS (SELECT row_id, skey, CASE WHEN row_id % 7 <> 0 THEN us END AS us FROM keyed),
+b AS (SELECT *, CASE WHEN row_number() OVER k = 1 OR (us - lag(us) OVER k) / 1e6 > 43200 THEN 1 ELSE 0 END AS brk
+  FROM m WINDOW k AS (PARTITION BY skey ORDER BY us NULLS LAST, row_id))
+SELECT row_id, skey || '#' || CAST(sum(brk) OVER (PARTITION BY skey ORDER BY us NULLS LAST, row_id) AS BIGINT) AS session_id
+FROM b""")
+def _timeout_missing(spark, sf):
+    flows = with_key(event_flows(spark, sf)).withColumn("ts", F.when(F.col("row_id") % 7 != 0, F.col("ts")))
+    return sessions.sessionize(flows, "skey", "ts", ["row_id"], HALF_DAY).select("row_id", "session_id")
+
+
 def _capped_sql(new: str) -> str:
     return f"""
 WITH {SESSIONS_SQL},

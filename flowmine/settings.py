@@ -54,6 +54,10 @@ WEEKDAYS = ["monday", "tuesday", "wednesday", "thursday", "friday"]
 # ---------------------------------------------------------------------------
 
 
+# Fixed value: start of the stand-in time axis.
+SURROGATE_START = "2017-07-03 09:00:00"
+
+
 @dataclass(frozen=True)
 class SessionSettings:
     key_mode: str = "service_port"
@@ -80,7 +84,6 @@ class SplitSettings:
 class SelectionSettings:
     variance_epsilon: float = 1.0e-5
     spearman_threshold: float = 0.95
-    spearman_sample_rows: int = 100_000
     top_k: int = 30
     vote_threshold: int = 4
     n_grid: tuple = (10, 15, 20, 25, 30, 40, 50)
@@ -88,7 +91,8 @@ class SelectionSettings:
     rankers: tuple = ("mi", "rfi", "pi_svm", "shap", "dmm", "sd", "boost", "sequence")
     base_rankers: tuple = ("mi", "rfi", "pi_svm", "shap", "dmm", "sd")
     mi_neighbors: int = 3
-    mi_max_rows: int = 50_000
+    # The *_max_rows below bound the labelled rows a ranker's or probe's model is fitted on
+    # (stratified by class). Rows are scored and explained without a bound.
     rfi_trees: int = 200
     rfi_max_rows: int = 200_000
     svm_max_rows: int = 8_000
@@ -96,7 +100,6 @@ class SelectionSettings:
     svm_repeats: int = 3
     shap_trees: int = 50
     shap_fit_max_rows: int = 200_000
-    shap_explain_rows: int = 5_000
     boost_rounds: int = 50
     boost_depth: int = 6
     boost_max_rows: int = 300_000
@@ -114,6 +117,7 @@ class ImbalanceSettings:
     k_neighbors: int = 5
     min_samples_for_smote: int = 6
     small_class_fallback: str = "random_oversample"
+    # Rows of one class that go into resampling; more are drawn down to it, and the report says so.
     majority_cap: int = 150_000
     enn_neighbors: int = 3
     target_strategy: str = "capped"
@@ -135,7 +139,8 @@ class ModelSettings:
     graph_hops: int = 2
     max_in_degree: int = 10
     edge_max_gap_s: float = 900.0
-    max_edges: int = 2_000_000
+    # A bound on session edges; None uses all, so predictions never depend on how many rows are scored.
+    max_edges: int | None = None
 
 
 @dataclass(frozen=True)

@@ -53,7 +53,8 @@ def read_csv_folder(spark: SparkSession, folder: str, pattern: str = "*.csv",
                     encoding: str = "ISO-8859-1") -> DataFrame:
     """All CSVs of a folder as text columns, one read per header layout.
 
-    Adds ``source_file`` and ``row_in_source``. Columns a file lacks are NULL.
+    Adds ``source_file`` (name), ``source_path`` (which tells files of one name
+    apart) and ``row_in_source``. Columns a file lacks are NULL.
     """
     paths = discover_files(spark, folder, pattern)
     with ThreadPoolExecutor(8) as pool:
@@ -70,11 +71,11 @@ def read_csv_folder(spark: SparkSession, folder: str, pattern: str = "*.csv",
                .option("mode", "PERMISSIVE").csv(files))
         parts.append(raw.select(
             *[F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n is not None],
-            F.col("_metadata.file_name").alias("source_file"),
+            F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("source_path"),
             F.col("_metadata.file_block_start").alias("__at"),
             F.monotonically_increasing_id().alias("__seq")))
     out = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return number_rows(out, "source_file", "__at", "__seq").drop("__at", "__seq")
+    return number_rows(out, "source_path", "__at", "__seq").drop("__at", "__seq")
 
 
 def aligned_union(tables: Mapping[str, DataFrame], source: str = "source") -> DataFrame:

@@ -53,6 +53,42 @@ def test_read_and_prepare(spark, tmp_path):
         prepare(spark, str(tmp_path), Settings(expect_min_rows=1000))
 
 
+def test_no_row_is_lost_without_clock_or_with_am_pm(spark, tmp_path):
+    def lines(stamp):
+        return [f"F{i},10.0.0.1,{40000 + i},10.0.0.9,80,6,{stamp(i)},{i},{i * 2},{i * 3},1.5,BENIGN" for i in range(5)]
+    bare = HEAD.replace(" Timestamp,", "")
+    (tmp_path / "a").mkdir()
+    (tmp_path / "Monday-WorkingHours.csv").write_text("\n".join([HEAD, *lines(lambda i: f"03/07/2017 10:00:{i:02d}")]))
+    (tmp_path / "a" / "Monday-WorkingHours.csv").write_text(
+        "\n".join([HEAD, *lines(lambda i: f"03/07/2017 09:00:{i:02d} {'PM' if i % 2 else 'AM'}" if i else "soon")]))
+    (tmp_path / "Tuesday-Afternoon.csv").write_text(
+        "\n".join([bare, *[x.replace(",#,", ",") for x in lines(lambda i: "#")]]))
+    df, _, _ = prepare(spark, str(tmp_path), Settings(expect_min_rows=5))
+    got = df.select("source_path", "row_in_source", F.date_format("ts", "MM-dd HH:mm:ss").alias("t"), "session_id").collect()
+    assert len(got) == 15 and all(r["session_id"] for r in got)
+    times = {(r["source_path"].split(tmp_path.name)[1], r["row_in_source"]): r["t"] for r in got}
+    assert times[("/a/Monday-WorkingHours.csv", 1)] == "07-03 21:00:01" and times[("/a/Monday-WorkingHours.csv", 2)] == "07-03 09:00:02"
+    assert times[("/a/Monday-WorkingHours.csv", 0)] is None
+    assert times[("/Tuesday-Afternoon.csv", 4)] == "07-04 21:00:04"
+
+
+def test_rows_without_time_or_label_stay(spark):
+    from flowmine.operators.sessions import sessionize
+    from flowmine.operators.splits import stratified_flow_split, stratified_session_split
+    from flowmine.settings import SessionSettings
+    rows_in = [(i, "k" if i < 40 else None, i * 100 if i % 4 else None, "a" if i % 3 else None) for i in range(60)]
+    d = spark.createDataFrame(rows_in, "id int, key string, s long, label string").withColumn("ts", F.timestamp_seconds("s"))
+    out = sessionize(d, "key", "ts", ["id"], SessionSettings(timeout_s=150.0, max_flows=0)).collect()
+    assert len(out) == 60 and all(r["session_id"] for r in out)
+    last = [r["session_id"] for r in out if r["key"] == "k" and r["s"] is None]
+    assert set(last) == {max((r["session_id"] for r in out if r["key"] == "k" and r["s"]), key=lambda x: int(x.split("#")[1]))}
+    split = stratified_flow_split(d, "id", "label")
+    assert split.count() == 60 and split.filter("label is null").select("split").distinct().count() > 1
+    by_session = d.withColumn("session", F.floor(F.col("id") / 3).cast("string"))
+    assert stratified_session_split(by_session.withColumn("label", F.when(F.col("id") > 30, F.col("label"))),
+                                    "session", "ts", "label", ["a"]).count() == 60
+
+
 def test_labels(spark):
     d = spark.createDataFrame([("BENIGN",), ("DDoS",), (None,), ("   ",), ("Label",), ("PortScan",)], "Label string")
     assert clean.group_labels(d, "Label").count() == 3
