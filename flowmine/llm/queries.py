@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowmine.llm.chat import format_report
 from flowmine.llm.common import table
 from flowmine.llm.language_model import score_report
+from flowmine.llm.licenses import TEMPLATES, scan
 from flowmine.llm.mixing import mix_report
 from flowmine.llm.quality import quality_report
 from flowmine.llm.sentencepieces import encode
@@ -202,3 +203,27 @@ FROM f
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back."""
     return archive_report(table(spark, sf_dir, "pages"))
+
+_TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(TEMPLATES.items()))
+LICENSE_SQL = rf"""
+WITH t AS (
+  SELECT name, trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS s FROM (VALUES {_TEMPLATE_ROWS}) v(name, text)),
+ts AS (
+  SELECT DISTINCT name, array_to_string(w[i:i+4], ' ') AS g
+  FROM (SELECT name, string_split(s, ' ') AS w, unnest(range(1, len(string_split(s, ' ')) - 3)) AS i FROM t)),
+d AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS s FROM documents),
+ds AS (
+  SELECT doc_id, i, array_to_string(w[i:i+4], ' ') AS g
+  FROM (SELECT doc_id, string_split(s, ' ') AS w, unnest(range(1, len(string_split(s, ' ')) - 3)) AS i FROM d)),
+n AS (SELECT name, count(*) AS n FROM ts GROUP BY name)
+SELECT doc_id, name AS license, CAST(count(DISTINCT g) AS DOUBLE) / CAST(any_value(n) AS DOUBLE) AS containment,
+  CAST(min(i) - 1 AS BIGINT) AS first_word, CAST(max(i) + 3 AS BIGINT) AS last_word
+FROM ds JOIN ts USING (g) JOIN n USING (name)
+GROUP BY doc_id, name HAVING CAST(count(DISTINCT g) AS DOUBLE) / CAST(any_value(n) AS DOUBLE) >= 0.8::DOUBLE
+"""
+
+
+@query("op4_license_scan", LICENSE_SQL)
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices that documents contain."""
+    return scan(table(spark, sf_dir, "documents"))

@@ -4,6 +4,7 @@ import re
 import numpy as np
 
 from flowmine.llm import substrings as S
+from flowmine.llm.chunks import pack_sorted, unpack_sorted
 
 
 def slow(rows, window):
@@ -58,7 +59,7 @@ def test_empty_and_packing(spark, docs):
     assert S.removal_report(docs([])).count() == 0 and S.cut_repeats(docs([])).count() == 0
     for values in ([5], [0, 2 ** 64 - 1], [1, 2, 3, 2 ** 63], sorted(np.random.default_rng(0).integers(0, 2 ** 63, 999))):
         a = np.array(values, np.uint64)
-        assert (S._unpack(S._pack(a)) == a).all()
+        assert (unpack_sorted(pack_sorted(a)) == a).all()
     w = np.random.default_rng(2).integers(0, 2 ** 63, 50).astype(np.uint64)
     w[30:42] = w[5:17]
     h = S.window_hashes(w, 12)
