@@ -1,8 +1,12 @@
-"""Exact nearest neighbours by blocks.
+"""Exact nearest neighbours by pivots.
 
-Rows are hashed into blocks; every pair of blocks is one task that keeps the k
-best of its own pairs, and the best lists of a row are merged. No task sees more
-than two blocks, and only k rows per (row, block) leave it.
+Some rows, at most ``MAX_PIVOTS`` of a group, serve as pivots; each row lies in the
+cell of its nearest pivot. The k-th distance inside the own cell bounds the
+search: another cell can hold a nearer row only if its ring of distances from
+its pivot, by the triangle inequality, comes within that bound. A row is then
+compared with those cells alone. Cells of more than ``block_rows`` rows are cut
+into blocks, so no task sees more than one block beside the rows that ask, and
+only k rows per (row, block) leave it.
 """
 
 from __future__ import annotations
@@ -12,38 +16,42 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowmine.session import cut_lineage
+
 OUT = "grp string, id string, dist double, other string, other_y int, other_x array<double>"
+PLACED = "grp string, id string, x array<double>, y int, cell int, away double"
+MAX_PIVOTS, CELL_ROWS = 1024, 250
 
 
-def nearest(df: DataFrame, k: int, row_id: str, vector: str, label: str, within: str | None = None,
-            block_rows: int = 2000, with_vectors: bool = False) -> DataFrame:
-    """(id, neighbours) with the ``k`` nearest other rows, nearest first, ties by id.
+def _pivots(rows: DataFrame) -> dict[str, np.ndarray]:
+    """Up to ``MAX_PIVOTS`` rows of each group, about one for ``CELL_ROWS`` rows, by a hash of the id."""
+    sizes = {r["grp"]: (r["n"], r["x"]) for r in rows.groupBy("grp").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by("x", "id").alias("x")).collect()}
+    shares = {g: min(1.0, MAX_PIVOTS / 2 / n, 1.0 / CELL_ROWS) for g, (n, _) in sizes.items()}
+    found: dict[str, list] = {g: [x] for g, (_, x) in sizes.items()}
+    unit = F.pmod(F.xxhash64("id"), F.lit(1 << 31)) / F.lit(float(1 << 31))
+    share = F.element_at(F.create_map(*[F.lit(v) for kv in shares.items() for v in kv]), F.col("grp"))
+    for r in rows.filter(unit < share).select("grp", "x").collect() if shares else []:
+        found[r["grp"]].append(r["x"])
+    return {g: np.array(xs[:MAX_PIVOTS], float) for g, xs in found.items()}
 
-    ``within`` limits neighbours to rows with the same value.
-    """
-    grp = F.col(within).cast("string") if within else F.lit("all")
-    rows = df.select(grp.alias("grp"), F.col(row_id).cast("string").alias("id"), F.col(vector).alias("x"),
-                     F.col(label).cast("int").alias("y"))
-    # One row per group: number of blocks.
-    sizes = rows.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("nb"))
-    rows = rows.join(F.broadcast(sizes), "grp").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    left = rows.select("grp", "id", "x", F.col("blk").alias("a"), every.alias("b"))
-    right = rows.select("grp", "id", "x", "y", F.col("blk"), every.alias("a")).toDF(
-        "r_grp", "r_id", "r_x", "r_y", "r_b", "r_a")
 
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    d = np.zeros((len(a), len(b)))
+    for c in range(b.shape[1]):
+        d += (a[:, c:c + 1] - b[:, c][None, :]) ** 2
+    return np.sqrt(d)
+
+
+def _best(k: int, with_vectors: bool):
     def best(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({c: [] for c in ("grp", "id", "dist", "other", "other_y", "other_x")})
         if q.empty or r.empty:
-            return empty
+            return pd.DataFrame(columns=["grp", "id", "dist", "other", "other_y", "other_x"], dtype=object)
         r = r.sort_values("r_id", kind="stable").reset_index(drop=True)
         qx, rx = np.stack(q["x"].to_numpy()), np.stack(r["r_x"].to_numpy())
         ids, out = r["r_id"].to_numpy(), []
         for at in range(0, len(q), 256):
-            part = qx[at:at + 256]
-            d = np.zeros((len(part), len(rx)))
-            for c in range(rx.shape[1]):
-                d += (part[:, c:c + 1] - rx[:, c][None, :]) ** 2
+            d = _distances(qx[at:at + 256], rx)
             d[q["id"].to_numpy()[at:at + 256][:, None] == ids[None, :]] = np.inf
             take = np.argsort(d, axis=1, kind="stable")[:, :k]
             ok = np.isfinite(np.take_along_axis(d, take, axis=1))
@@ -51,11 +59,69 @@ def nearest(df: DataFrame, k: int, row_id: str, vector: str, label: str, within:
             pos = take[row, col]
             out.append(pd.DataFrame({
                 "grp": q["grp"].to_numpy()[at + row], "id": q["id"].to_numpy()[at + row],
-                "dist": np.sqrt(d[row, pos]), "other": ids[pos], "other_y": r["r_y"].to_numpy()[pos],
+                "dist": d[row, pos], "other": ids[pos], "other_y": r["r_y"].to_numpy()[pos],
                 "other_x": [rx[j] for j in pos] if with_vectors else None}))
         return pd.concat(out, ignore_index=True)
+    return best
+
+
+def nearest(df: DataFrame, k: int, row_id: str, vector: str, label: str, within: str | None = None,
+            block_rows: int = 2000, with_vectors: bool = False) -> DataFrame:
+    """(id, neighbours) with the ``k`` nearest other rows, nearest first, ties by id.
+
+    ``within`` limits neighbours to rows with the same value (a few groups).
+    """
+    grp = F.coalesce(F.col(within).cast("string"), F.lit("")) if within else F.lit("all")
+    rows = cut_lineage(df.select(grp.alias("grp"), F.col(row_id).cast("string").alias("id"), F.col(vector).alias("x"),
+                                 F.col(label).cast("int").alias("y")))
+    pivots = _pivots(rows)
+
+    def place(batches):
+        for pdf in batches:
+            for g, part in pdf.groupby("grp", sort=False):
+                d = _distances(np.stack(part["x"].to_numpy()), pivots[g])
+                cell = d.argmin(axis=1)
+                yield part.assign(cell=cell.astype("int32"), away=d[np.arange(len(part)), cell])
+
+    placed = cut_lineage(rows.mapInPandas(place, PLACED))
+    stats = placed.groupBy("grp", "cell").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("blocks"),
+        F.min("away").alias("low"), F.max("away").alias("high"))
+    rings = {(r["grp"], r["cell"]): (r["low"], r["high"], r["blocks"]) for r in stats.collect()}   # one per pivot
+    blocks = F.broadcast(stats.select("grp", "cell", "blocks"))
+    members = placed.join(blocks, ["grp", "cell"]).select(
+        F.col("grp").alias("r_grp"), F.col("id").alias("r_id"), F.col("x").alias("r_x"), F.col("y").alias("r_y"),
+        F.col("cell").alias("r_cell"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("r_block"))
+
+    def search(asked: DataFrame) -> DataFrame:
+        spread = asked.join(blocks, ["grp", "cell"]).select(
+            "grp", "id", "x", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        return spread.groupBy("grp", "cell", "block").cogroup(
+            members.groupBy("r_grp", "r_cell", "r_block")).applyInPandas(_best(k, with_vectors), OUT)
+
+    def merged(found: DataFrame) -> DataFrame:
+        return found.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct(
+            "dist", "other", "other_y", "other_x"))), 1, k).alias("neighbours"))
+
+    own = cut_lineage(search(placed.select("grp", "id", "x", "cell")))
+    bounds = merged(own).select("id", F.when(F.size("neighbours") == k, F.get("neighbours", F.lit(k - 1))["dist"]).alias("reach"))
+
+    def further(batches):
+        """The other cells that may hold a nearer row."""
+        for pdf in batches:
+            for g, part in pdf.groupby("grp", sort=False):
+                ring = [rings.get((g, c), (np.inf, -np.inf, 0)) for c in range(len(pivots[g]))]
+                low, high = np.array([r[0] for r in ring]), np.array([r[1] for r in ring])
+                d = _distances(np.stack(part["x"].to_numpy()), pivots[g])
+                reach = part["reach"].fillna(np.inf).to_numpy()[:, None] * (1 + 1e-9) + 1e-12
+                near = (d - high <= reach) & (low - d <= reach) & (high >= low)
+                near[np.arange(len(part)), part["cell"].to_numpy()] = False
+                row, cell = np.nonzero(near)
+                if not len(row):
+                    continue
+                yield pd.DataFrame({"grp": g, "id": part["id"].to_numpy()[row], "x": part["x"].to_numpy()[row],
+                                    "cell": cell.astype("int32")})
 
-    found = (left.groupBy("grp", "a", "b").cogroup(right.groupBy("r_grp", "r_a", "r_b")).applyInPandas(best, OUT))
-    merged = found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(
-        "dist", "other", "other_y", "other_x"))).alias("all"))
-    return merged.select("id", F.slice("all", 1, k).alias("neighbours"))
+    asked = placed.join(bounds, "id", "left").select("grp", "id", "x", "cell", "reach").mapInPandas(
+        further, "grp string, id string, x array<double>, cell int")
+    return merged(own.unionByName(search(asked)))
