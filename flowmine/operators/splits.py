@@ -167,6 +167,7 @@ def time_blocked_split(df: DataFrame, session: str, ts: str, label: str, row_id:
                        classes: Sequence[str], settings: SplitSettings = SplitSettings(),
                        **kw) -> DataFrame:
     """Whole sessions of each class placed in time order: train, val, test or gap."""
+    df = cut_lineage(df)                    # read for the session table and again for the rows
     blocks, sessions = fit_time_blocks(df, session, ts, label, row_id, classes, settings, **kw)
     return apply_time_blocks(df, sessions, blocks, session, ts)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from flowmine.operators import imbalance
 from flowmine.queries.common import query
 from flowmine.settings import ImbalanceSettings
-from flowmine.sources.views import event_flows
+from flowmine.sources.views import EVENT_FLOWS_SQL, event_flows
 
 # Classes from the value: most rows are class 0, the last class is tiny.
 UNEVEN = "CASE WHEN value < 40 THEN 0 WHEN value < 100 THEN 1 WHEN value < 200 THEN 2 WHEN value < 350 THEN 3 ELSE 4 END"
@@ -71,7 +71,15 @@ def _smote(spark, sf):
     return imbalance.smote(d, "y", "row_id", "x", plan, 5).groupBy("y").agg(F.count(F.lit(1)).alias("n_new"))
 
 
-@query("edited_neighbours")
+@query("edited_neighbours", f"""
+WITH {EVENT_FLOWS_SQL},
+u AS (SELECT row_id, CAST({UNEVEN} AS INTEGER) AS y, k / 100.0::DOUBLE AS a, hour / 24.0::DOUBLE AS b,
+  row_number() OVER (ORDER BY CAST(row_id AS VARCHAR)) AS at FROM flows),
+near AS (
+  SELECT p.row_id, p.y, min_by(q.y, {{'d': sqrt((p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b)), 'at': q.at}}, 3) AS ys
+  FROM u p JOIN u q ON p.row_id <> q.row_id GROUP BY p.row_id, p.y),
+least AS (SELECT y FROM u GROUP BY y ORDER BY count(*), y LIMIT 1)
+SELECT CAST(row_id AS VARCHAR) AS row_id, y FROM near WHERE y = (SELECT y FROM least) OR len(list_filter(ys, lambda v: v <> y)) = 0""")
 def _enn(spark, sf):
     d = uneven(spark, sf).withColumn("row_id", F.col("row_id").cast("string"))
     return imbalance.edited_neighbours(d, "y", "row_id", "x").select("row_id", "y")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from flowmine.functions import arrays
 from flowmine.operators import fusion, guards, metrics, reports, temporal, windows
 from flowmine.queries.common import query
+from flowmine.session import cut_lineage
 from flowmine.sources.views import EVENT_CLASSES, event_flows
 
 MODELS = {"alpha": (7, 13, 3, 14), "beta": (11, 5, 1, 9), "gamma": (3, 8, 6, 5)}
@@ -272,9 +273,9 @@ def fusion_rows(spark, sf):
     g = temporal.fit_transitions(seqs, EVENT_CLASSES)
     d = windows.previous_state(s, "user_id", "ts", ["row_id"], F.col("label"), block_s=86400)
     d = fusion.add_context(d, g, EVENT_CLASSES)
-    return d.select("row_id", "ts", "y", "context", *[f"p_{m}" for m in MODELS],
+    return cut_lineage(d.select("row_id", "ts", "y", "context", *[f"p_{m}" for m in MODELS],
                     (F.col("k") / 100.0).alias("sp"), (F.col("hour") / 24.0).alias("tc"),
-                    F.when(F.col("row_id") % 4 == 0, 0.0).otherwise(1.0).alias("availability"))
+                    F.when(F.col("row_id") % 4 == 0, 0.0).otherwise(1.0).alias("availability")))
 
 
 CUT = "ts < timestamp '2024-01-20'"
