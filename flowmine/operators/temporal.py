@@ -77,8 +77,13 @@ class TransitionGraph:
         return (self.states.select(F.col("state").alias("src")).join(sums, "src", "left")
                 .select("src", F.coalesce("total", F.lit(0)).alias("total")))
 
+    def observed(self) -> DataFrame:
+        """Observed pairs with count and smoothed probability, without the square of all states."""
+        return self.edges.join(self._side(self.totals()), "src").select(
+            "src", "dst", "cnt", ((F.col("cnt") + self.alpha) / (F.col("total") + self.alpha * self.n_states)).alias("prob"))
+
     def grid(self) -> DataFrame:
-        """All pairs of states with count and smoothed probability (for reports)."""
+        """All pairs of states with count and smoothed probability; meant for few states."""
         names = self.states.agg(F.collect_list("state").alias("all"))
         pairs = self.totals().join(F.broadcast(names)).select("src", "total", F.explode("all").alias("dst"))
         return pairs.join(self.edges, ["src", "dst"], "left").select(

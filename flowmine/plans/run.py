@@ -114,15 +114,18 @@ def run(df: DataFrame, features: Sequence[str], roles: Roles = Roles(), settings
     benign = classes.index(s.benign) if s.benign in classes else 0
     split = stage(splits.make_split(df, strategy, session=r.session, ts=r.ts, label=r.label, row_id=r.row_id,
                                     classes=classes, settings=s.split, held_out=held_out))
-    guards.enforce(guards.split_guards(split, r.row_id, r.session, r.ts, strategy))
+    train_raw = split.filter("split = 'train'")
+    guards.enforce(guards.split_guards(split, r.row_id, r.session, r.ts, strategy, fitted=train_raw))
     lap("split")
 
-    train_raw = split.filter("split = 'train'")
     numeric = [f for f in features if f not in categorical]
     prep = Preprocessor(numeric, list(categorical)).fit(train_raw)
     bins = FlowStates(states or dict(zip("DBP", [*numeric, None, None, None][:3])), s.temporal.bins).fit(train_raw)
     keep = [r.row_id, r.ts, r.session, r.label, r.y, r.host, "split"]
-    event = bins.transform(split, "__event")
+    if s.temporal.event_definition not in ("flow_state", "true_label"):
+        raise ValueError(f"events are flow_state or true_label when fitted, not {s.temporal.event_definition!r}")
+    by_label = s.temporal.event_definition == "true_label"
+    event = split.withColumn("__event", F.col(r.label)) if by_label else bins.transform(split, "__event")
     scaled_rows = stage(prep.transform(event, [*dict.fromkeys(keep), "__event"]))
     train, val, test = [scaled_rows.filter(F.col("split") == p) for p in ("train", "val", "test")]
     lap("fit transformers")
@@ -151,15 +154,21 @@ def run(df: DataFrame, features: Sequence[str], roles: Roles = Roles(), settings
                 ts=r.ts, host=r.host, seed=s.seed)
     fitted, failed = models.train_all(models.TrainingData(flow_rows, val, **base),
                                       models.TrainingData(ordered, val, **base), s.models)
+    for name, m in fitted.items():
+        guards.same_features(f_star, m.features, name)
     lap("train models")
 
     def scored_part(part: DataFrame) -> DataFrame:
         d = models.predict_all(fitted, part)
+        if by_label and fitted:                 # labels are known in training only; later the first model names the event
+            named = F.array(*[F.lit(c) for c in classes])
+            d = d.withColumn("__event", F.get(named, metrics.argmax(F.col(f"p_{next(iter(fitted))}"))))
         d = windows.previous_state(d, r.session, r.ts, [r.row_id], F.col("__event"))
         d = mined.evidence(d, r.session, r.ts, [r.row_id], "__event")
         return stage(fusion.add_context(d, mined.graph, classes))
 
     pv, pt = scored_part(val), scored_part(test)
+    guards.enforce(guards.combine([guards.not_resampled(val, pv), guards.not_resampled(test, pt)]))
     for name in fitted:
         guards.enforce(guards.probabilities_valid(pt, f"p_{name}", r.row_id))
     lap("predict")
@@ -178,7 +187,7 @@ def run(df: DataFrame, features: Sequence[str], roles: Roles = Roles(), settings
         "split": reports.split_distribution(split, r.label, classes),
         "comparison": metrics.compare_models(preds, r.y, [*fitted, "fusion"], alpha=s.evaluation.alpha),
         "weights": fuse.weight_summary(out), "votes": chosen.votes, "patterns": mined.pattern_table,
-        "transitions": files.observed_edges(mined.graph.grid())}
+        "transitions": files.observed_edges(mined.graph.observed())}
     if held_out:
         tables["zero_day"] = metrics.zero_day(out, r.y, "pred", classes.index(held_out), benign, held_out)
     flat = tables["metrics"].filter("model = 'fusion'").first()

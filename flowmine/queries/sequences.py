@@ -149,7 +149,7 @@ def _graph(spark, sf):
 @query("transition_edges", f"""
 WITH {_TRANS_SQL} SELECT src, dst, cnt, round(prob, 5) AS weight FROM grid WHERE cnt > 0 AND prob > 0.15""")
 def _edges(spark, sf):
-    return observed_edges(temporal.fit_transitions(seqs_of(spark, sf), STATES).grid(), 0.15)
+    return observed_edges(temporal.fit_transitions(seqs_of(spark, sf), STATES).observed(), 0.15)
 
 
 @query("transition_lookup", f"""
