@@ -27,7 +27,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowmine.llm.common import stage
+from flowmine.llm.common import let, stage
 from flowmine.session import shared_folder
 
 MAGIC = "WARC/1.0\r\n"
@@ -39,9 +39,12 @@ BROADCAST_REVISITS = 200_000
 
 
 def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1 of a text's UTF-8 bytes."""
-    digits = F.sha1(payload)
+    """Upper-case base32 of the SHA-1 of a text's UTF-8 bytes, which is taken once."""
+    return let(F.sha1(payload), _base32)
 
+
+def _base32(digits: Column) -> Column:
+    """Base32 of 40 hexadecimal digits."""
     def nibble(at: Column) -> Column:
         return F.instr(F.lit("0123456789abcdef"), F.substring(digits, at + 1, F.lit(1))) - 1
 

@@ -4,6 +4,7 @@ import corpus_pipeline as P
 from flowmine.llm.common import stage
 from flowmine.llm.queries import MIXING_SQL, QUALITY_SQL
 
+from .test_quality_mixing_licenses import split
 from .test_simhash import slow_components, slow_print
 from .test_substrings import slow
 
@@ -36,7 +37,7 @@ def test_each_stage_against_a_plain_version(spark, sf):
     assert cut.columns == columns and cut.count() == single.count()
     for r in cut.collect():
         i, n, gone, digest = want[r["doc_id"]]
-        assert len(r["text"].split()) == n - gone and r["n_chars"] == len(r["text"])
+        assert len(split(r["text"])) == n - gone and r["n_chars"] == len(r["text"])
         assert slow([(i, r["text"])], 10 ** 9)[0][3] == digest
         assert gone or r["text"] == before[i]["text"]
 
@@ -46,7 +47,7 @@ def test_each_stage_against_a_plain_version(spark, sf):
     taken = dict(con.execute(f"SELECT doc_id, taken FROM ({MIXING_SQL}) WHERE taken > 0").fetchall())
     words = {}
     for r in mixed.collect():
-        words[r["doc_id"]] = words.get(r["doc_id"], 0) + len(r["text"].split())
+        words[r["doc_id"]] = words.get(r["doc_id"], 0) + len(split(r["text"]))
     assert words == taken
 
     last = P.sentencepiece(spark, mixed, sf).collect()
