@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowmine.llm.chunks import CHUNK_BYTES, range_chunks, text_bytes
+from flowmine.llm.chunks import CHUNK_BYTES, pack_sorted, range_chunks, text_bytes, unpack_sorted
 from flowmine.llm.common import WORD_PATTERN, unused
 
 WINDOW = 20
@@ -73,24 +73,6 @@ def window_hashes(words: np.ndarray, window: int) -> np.ndarray:
     return _mixed(sums[window - 1:] * up[window - 1:])
 
 
-def _pack(sorted_hashes: np.ndarray) -> bytes:
-    """Differences of sorted hashes, byte plane by byte plane, without the planes that are all zero."""
-    gaps = np.diff(sorted_hashes, prepend=np.uint64(0))
-    planes = max(1, -(-int(gaps[1:].max()).bit_length() // 8)) if len(gaps) > 1 else 1
-    low = gaps[1:].view(np.uint8).reshape(-1, 8)[:, :planes]
-    return bytes([planes]) + gaps[:1].tobytes() + np.ascontiguousarray(low.T).tobytes()
-
-
-def _unpack(packed: bytes) -> np.ndarray:
-    planes, first = packed[0], np.frombuffer(packed, np.uint64, 1, 1)
-    low = np.frombuffer(packed, np.uint8, offset=9).reshape(planes, -1)
-    gaps = np.zeros((low.shape[1] + 1, 8), np.uint8)
-    gaps[1:, :planes] = low.T
-    gaps = gaps.view(np.uint64).ravel()
-    gaps[0] = first[0]
-    return np.cumsum(gaps)
-
-
 class _Chunk:
     """Windows of the texts of one chunk, in order of (id, text)."""
 
@@ -135,13 +117,13 @@ def _send(id_col: str, text: str, window: int, buckets: int):
         used = [b for b in range(buckets) if chunk.cuts[b] < chunk.cuts[b + 1]]
         return pa.table({
             "bucket": pa.array(used, pa.int32()), "chunk": pa.array([key[0].as_py()] * len(used), pa.int64()),
-            "packed": pa.array([_pack(chunk.distinct[chunk.cuts[b]:chunk.cuts[b + 1]]) for b in used], pa.binary())})
+            "packed": pa.array([pack_sorted(chunk.distinct[chunk.cuts[b]:chunk.cuts[b + 1]]) for b in used], pa.binary())})
     return run
 
 
 def _answer(key: tuple, rows: pa.Table) -> pa.Table:
     rows = rows.sort_by("chunk")
-    parts = [_unpack(p.as_py()) for p in rows.column("packed")]
+    parts = [unpack_sorted(p.as_py()) for p in rows.column("packed")]
     hashes = np.concatenate(parts)
     order = np.argsort(hashes, kind="stable")                        # equal hashes stay in order of chunk
     earlier = np.zeros(len(hashes), bool)
