@@ -35,7 +35,7 @@ from flowmine.llm.components import connected_components, find_roots, unite
 
 THRESHOLD = 0.95
 FIT_ROWS, CELL_ROWS, MAX_CELLS = 50_000, 500, 4096
-SPILL = 4.0
+SPILL = 2.0
 BLOCK, STRIP = 4000, 250
 
 
@@ -115,18 +115,19 @@ def _compare(threshold: float):
         for i, c in enumerate(lists):
             cells[i, :len(c)] = c
         links, parent = np.zeros(n), np.arange(n)
+        at_home = home == cell
         a, b = np.flatnonzero(part == left), np.flatnonzero(part == right)
-        for lo in range(0, len(a), STRIP):
-            strip = a[lo:lo + STRIP]
-            i, j = np.nonzero(x[strip] @ x[b].T >= threshold)
-            i, j = strip[i], b[j]
+        # A pair needs one of the two at home; guests are never compared with guests.
+        sides = [(a[at_home[a]], b)] if left == right else [(a[at_home[a]], b), (b[at_home[b]], a[~at_home[a]])]
+        strips = [(own[lo:lo + STRIP], others) for own, others in sides for lo in range(0, len(own), STRIP)]
+        for strip, others in strips:
+            i, j = np.nonzero(x[strip] @ x[others].T >= threshold)
+            i, j = strip[i], others[j]
             if left == right:
-                once = i < j
+                once = (i < j) | ~at_home[j]
                 i, j = i[once], j[once]
-            at_i, at_j = home[i] == cell, home[j] == cell
-            other = np.where(at_i, home[j], home[i])
-            seen_there = (cells[np.where(at_i, i, j)] == other[:, None]).any(axis=1)
-            own = (at_i & at_j) | ((at_i | at_j) & (~seen_there | (cell < other)))
+            seen_there = (cells[i] == home[j][:, None]).any(axis=1)
+            own = at_home[j] | ~seen_there | (cell < home[j])
             i, j = i[own], j[own]
             links += np.bincount(i, weight[j], n) + np.bincount(j, weight[i], n)
             unite(parent, i, j)
