@@ -2,16 +2,19 @@
 
 Equal vectors are folded first. Spark's k-means with cosine distance is fitted
 on a sample of at most ``FIT_ROWS`` vectors; every vector goes to its nearest
-centre (its home) and also to each cell whose bounding plane it is so close to
-that a partner within the threshold may lie beyond. A partner at angle t moves
-at most sin t across a plane, and along a random direction of d dimensions by
-about sin t / sqrt(d); the margin is ``SPILL`` times that, and never more than
-sin t, so cells are exact up to ``SPILL`` ** 2 dimensions and next to exact
-beyond (README: measured recall). A pair is looked at where one of the two is at
-home, and counts in the lower of the two homes if both see it.
-
-Cells with more than ``BLOCK`` members are dealt to pairs of blocks, each a task
-of its own. A task returns link counts and a spanning forest, never its pairs.
+centre (its home) and also, as a guest, to each cell whose bounding plane it is
+within the margin of. Two vectors at angle t with different homes lie on the two
+sides of the plane between these; the angles at which they rise over it add up
+to at most t, so the lower one is at most sin(t / 2) away from it and visits the
+other's home. With that margin (``spill`` = 1, the least that is taken) every
+pair within the threshold is found, in any number of dimensions. A pair is looked
+at where one of the two is at home, and counts in the lower of the two homes if
+both see it.
+
+The members of a cell at home and its guests are dealt to blocks of about
+``BLOCK``; a block of members meets each block of the cell in a task of its own,
+guests never meet guests. A task returns link counts and a spanning forest, never
+its pairs.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing and stay; vectors of another length than most
@@ -35,8 +38,10 @@ from flowmine.llm.components import connected_components, find_roots, unite
 
 THRESHOLD = 0.95
 FIT_ROWS, CELL_ROWS, MAX_CELLS = 50_000, 500, 4096
-SPILL = 2.0
+SPILL = 1.0
 BLOCK, STRIP = 4000, 250
+#: Rows of a batch that placing gives out.
+COPIES = 10_000
 
 
 def _folded(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -62,10 +67,12 @@ def fit_cells(reps: DataFrame, n: int, dims: int, fit_rows: int = FIT_ROWS, cell
     return centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
 
 
-def _placed(reps: DataFrame, centres: np.ndarray, dims: int, threshold: float, spill: float) -> DataFrame:
-    """A row for each cell a vector goes to, with its home and all its cells."""
-    reach = math.sqrt(1 - threshold * threshold) * min(1.0, spill / math.sqrt(dims))
-    apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0)) * reach + 1e-12
+def _placed(reps: DataFrame, centres: np.ndarray, dims: int, threshold: float, spill: float,
+            whole: bool = True) -> DataFrame:
+    """A row for each cell a vector goes to, with its home; at home also all its cells. Not ``whole``: cell and home only."""
+    # The small terms keep rounding on the safe side.
+    reach = min(1.0, spill * math.sqrt(max(0.0, (1 - threshold) / 2) + 1e-14))
+    apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0) + 1e-12) * reach + 1e-12
 
     def run(batches):
         for batch in batches:
@@ -90,14 +97,19 @@ def _placed(reps: DataFrame, centres: np.ndarray, dims: int, threshold: float, s
                 for r, mask in zip(rows.tolist(), near):
                     cells[r] = np.flatnonzero(mask).tolist()
             at = np.repeat(np.arange(n), [len(c) for c in cells])
-            out = batch.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays(
-                [out.column("id"), out.column("m"), out.column("e"), pa.array(np.concatenate(cells), pa.int64()),
-                 pa.array(home[at]), pa.array([cells[i] for i in at.tolist()], pa.list_(pa.int64()))],
-                ["id", "m", "e", "cell", "home", "cells"])
+            cell, homes = np.concatenate(cells), home[at]
+            for lo in range(0, len(at), COPIES):
+                part, to = at[lo:lo + COPIES], slice(lo, lo + COPIES)
+                columns = {"cell": pa.array(cell[to], pa.int64()), "home": pa.array(homes[to])}
+                if whole:
+                    out = batch.take(pa.array(part))
+                    columns |= {"id": out.column("id"), "m": out.column("m"), "e": out.column("e"), "cells": pa.array(
+                        [cells[i] if h else None for i, h in zip(part.tolist(), (cell[to] == homes[to]).tolist())],
+                        pa.list_(pa.int64()))}
+                yield pa.RecordBatch.from_pydict(columns)
 
-    return reps.select("id", "m", "e").mapInArrow(
-        run, "id long, m long, e array<double>, cell long, home long, cells array<long>")
+    schema = "cell long, home long" + (", id long, m long, e array<double>, cells array<long>" if whole else "")
+    return reps.select("id", "m", "e").mapInArrow(run, schema)
 
 
 def _compare(threshold: float):
@@ -110,21 +122,19 @@ def _compare(threshold: float):
         x = rows.column("e").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
         x = x / np.abs(x).max(axis=1, keepdims=True)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        lists = rows.column("cells").to_pylist()
+        lists = [c or [] for c in rows.column("cells").to_pylist()]         # guests have none
         cells = np.full((n, max(map(len, lists))), np.iinfo(np.int64).min)
         for i, c in enumerate(lists):
             cells[i, :len(c)] = c
         links, parent = np.zeros(n), np.arange(n)
         at_home = home == cell
         a, b = np.flatnonzero(part == left), np.flatnonzero(part == right)
-        # A pair needs one of the two at home; guests are never compared with guests.
-        sides = [(a[at_home[a]], b)] if left == right else [(a[at_home[a]], b), (b[at_home[b]], a[~at_home[a]])]
-        strips = [(own[lo:lo + STRIP], others) for own, others in sides for lo in range(0, len(own), STRIP)]
-        for strip, others in strips:
-            i, j = np.nonzero(x[strip] @ x[others].T >= threshold)
-            i, j = strip[i], others[j]
+        # The left block is at home; the right one may be of guests.
+        for strip in (a[lo:lo + STRIP] for lo in range(0, len(a), STRIP)):
+            i, j = np.nonzero(x[strip] @ x[b].T >= threshold)
+            i, j = strip[i], b[j]
             if left == right:
-                once = (i < j) | ~at_home[j]
+                once = i < j
                 i, j = i[once], j[once]
             seen_there = (cells[i] == home[j][:, None]).any(axis=1)
             own = at_home[j] | ~seen_there | (cell < home[j])
@@ -142,6 +152,8 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: s
                            threshold: float = THRESHOLD, spill: float = SPILL, cell_rows: int = CELL_ROWS,
                            block: int = BLOCK, fit_rows: int = FIT_ROWS) -> DataFrame:
     """(id, n_links, component_id, kept) of every vector."""
+    if spill < 1:
+        raise ValueError("a spill of under 1 misses pairs")
     rows = stage(_folded(vectors, id_col, vector))
     sound = rows.filter(F.col("key").isNotNull())
     reps = stage(sound.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("m"),
@@ -153,10 +165,16 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: s
                            F.lit(True).alias("kept"))
     dims, n = usual["d"], usual["count"]
     centres = fit_cells(reps.filter(F.size("e") == dims), n, dims, fit_rows, cell_rows)
-    placed = stage(_placed(reps, centres, dims, threshold, spill))
-    parts = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
-    dealt = (placed.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-             .withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    at_home = F.col("cell") == F.col("home")
+    sizes = stage(_placed(reps, centres, dims, threshold, spill, whole=False).groupBy("cell").agg(
+        F.ceil(F.count_if(at_home) / block).alias("homes"), F.ceil(F.count_if(~at_home) / block).alias("guests")))
+    # Blocks of members come first, then those of guests; guests meet members only.
+    homes, guests = (F.greatest(F.coalesce(c, F.lit(0)), F.lit(1)) for c in ("homes", "guests"))
+    dealt = (_placed(reps, centres, dims, threshold, spill).join(sizes, "cell", "left")
+             .withColumn("part", F.when(at_home, F.pmod(F.xxhash64("id"), homes))
+                         .otherwise(homes + F.pmod(F.xxhash64("id"), guests)))
+             .withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.when(at_home, homes + guests)
+                                                   .otherwise(homes) - 1)))
              .select("id", "m", "e", "cell", "home", "cells", "part",
                      F.least("part", "o").alias("left"), F.greatest("part", "o").alias("right")))
     found = stage(dealt.groupBy("cell", "left", "right").applyInArrow(
