@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import types as T
 
 from flowmine.llm import vectors as V
@@ -52,6 +53,24 @@ def test_many_cells_and_blocks(spark):
         assert all(g[1] <= w[1] for g, w in zip(got, want)) and found >= 0.9 * there
 
 
+def test_default_margin_is_exact(spark):
+    rng = np.random.default_rng(6)
+    rows = clustered(rng, 400, 64, 8)
+    assert run(spark, rows, cell_rows=40) == slow(rows)
+    for span in (4, 6):                                                       # few of 64 dimensions
+        basis = np.linalg.qr(rng.normal(size=(64, span)))[0]
+        rows = [(k, (basis @ rng.normal(size=span)).astype(np.float32).tolist()) for k in range(1200)]
+        want = slow(rows)
+        assert run(spark, rows, cell_rows=40, block=50) == want
+        assert run(spark, rows, cell_rows=40) == want
+        assert run(spark, rows) == want
+
+
+def test_margin_is_never_less(spark):
+    with pytest.raises(ValueError):
+        run(spark, [(1, [1.0, 0.0])], spill=0.5)
+
+
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, 0.0]),
