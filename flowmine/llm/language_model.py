@@ -12,7 +12,7 @@ and the end of a text, a token of its own, takes the vocabulary's end piece. A
 text's probability is the product over its words and its end, which is the sum
 over all paths of the text's lattice, since no piece crosses a blank.
 
-Documents are dealt to chunks by a hash of the id. A chunk counts its words and
+Documents are dealt to chunks by a hash of id and text. A chunk counts its words and
 sends each distinct one once, as a sorted packed 64-bit hash with its count in
 training documents, to the hash's bucket; a bucket sums the counts of its
 words over all chunks and answers every chunk in the chunk's own order. Words
@@ -148,6 +148,15 @@ def _score(buckets: int, shipped, n: int, ends: int, unseen: float):
     return run
 
 
+def dealt(docs: DataFrame, id_col: str, text: str, folds: int, held_out: int, chunks: int) -> DataFrame:
+    """(doc_id, text, held_out, chunk) of every row; a missing or repeated id does not gather texts in one chunk."""
+    name, body = F.col(id_col).cast("long"), F.col(text).cast("string")
+    return docs.select(
+        name.alias("doc_id"), body.alias("text"),
+        (F.pmod(F.crc32(F.coalesce(name.cast("string"), F.lit(""))), F.lit(folds)) == held_out).alias("held_out"),
+        F.pmod(F.xxhash64(name, body), F.lit(chunks)).cast("long").alias("chunk"))
+
+
 def score_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model: str = MODEL,
                  folds: int = FOLDS, held_out: int = HELD_OUT, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
@@ -161,11 +170,7 @@ def score_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mo
     chunks, buckets = max(1, -(-total // chunk_bytes)), 1
     while buckets * BUCKET_BYTES < total:
         buckets *= 2
-    name = F.col(id_col).cast("long")
-    rows = docs.select(
-        name.alias("doc_id"), F.col(text).cast("string").alias("text"),
-        (F.pmod(F.crc32(F.coalesce(name.cast("string"), F.lit(""))), F.lit(folds)) == held_out).alias("held_out"),
-        F.pmod(F.xxhash64(name), F.lit(chunks)).cast("long").alias("chunk"))
+    rows = dealt(docs, id_col, text, folds, held_out, chunks)
     sent = rows.groupBy("chunk").applyInArrow(_send(buckets), "bucket int, chunk long, packed binary, counts binary")
     answers = stage(sent.groupBy("bucket").applyInArrow(
         _sum_up, "chunk long, bucket int, counts binary, tokens long, kinds long, once long"))

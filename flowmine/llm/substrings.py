@@ -1,7 +1,8 @@
 """Substring dedup: repeated windows of words are found by Rabin-Karp hashes and cut out.
 
-Documents are dealt into chunks by ranges of their id, so that an earlier chunk
-holds earlier documents. A chunk rolls a Rabin-Karp hash over every window of
+Documents are dealt into chunks by ranges of their id, and those of an id with
+more text than a chunk by the hash of their text, so that an earlier chunk holds
+earlier documents. A chunk rolls a Rabin-Karp hash over every window of
 ``window`` words, keeps each distinct hash once, sorts them and sends them to
 the hash's bucket as packed differences (about six bytes a window). A bucket
 counts in how many chunks a hash occurs and answers each chunk with one bit a
@@ -15,8 +16,8 @@ n * n / 2 ** 65 pairs are taken for equal by chance.
 
 Edge cases: a null or blank text has no words and nothing is removed; a text
 with fewer words than a window keeps all. Documents without an id come after
-all others, ordered by text. Rows that share an id follow each other in the
-order of their texts, so a repeated row loses what the first one keeps. An
+all others. Rows that share an id or have none follow each other in the order of
+their texts' xxhash64, then text, so a repeated row loses what the first one keeps. An
 empty table gives an empty result; other columns are carried along unchanged.
 """
 
@@ -73,12 +74,24 @@ def window_hashes(words: np.ndarray, window: int) -> np.ndarray:
     return _mixed(sums[window - 1:] * up[window - 1:])
 
 
+def text_hash(text: str | None) -> int:
+    """Spark's xxhash64 of a text, by which ``range_chunks`` deals."""
+    if text is None:
+        return 42
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 class _Chunk:
-    """Windows of the texts of one chunk, in order of (id, text)."""
+    """Windows of the texts of one chunk, in order of (id, hash of the text, text)."""
 
     def __init__(self, rows: pa.Table, id_col: str, text: str, window: int, buckets: int):
-        order = pc.sort_indices(rows.select([id_col, text]), sort_keys=[(id_col, "ascending"), (text, "ascending")])
-        self.rows = rows.take(order)
+        ids = rows.column(id_col)
+        hashes = np.zeros(rows.num_rows, np.int64)
+        if ids.null_count or len(pc.unique(ids)) < len(ids):
+            hashes = np.fromiter((text_hash(t.as_py()) for t in rows.column(text)), np.int64, rows.num_rows)
+        keys = pa.table([ids, pa.array(hashes), rows.column(text)], ["id", "hash", "text"])
+        self.rows = rows.take(pc.sort_indices(keys, sort_keys=[(k, "ascending") for k in keys.column_names]))
         self.texts = self.rows.column(text)
         numbers, parts = _Numbers(), []
         for t in self.texts:
@@ -194,7 +207,7 @@ def _deduplicated(docs: DataFrame, id_col: str, text: str, window: int, chunk_by
     while buckets * BUCKET_WINDOWS * WORD_BYTES < total:
         buckets *= 2
     name = unused(docs, "chunk_")
-    dealt = range_chunks(docs, id_col, name, total, chunk_bytes)
+    dealt = range_chunks(docs, id_col, name, total, chunk_bytes, text)
     sent = dealt.groupBy(name).applyInArrow(
         _send(id_col, text, window, buckets), "bucket int, chunk long, packed binary")
     bits = sent.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, bits binary")

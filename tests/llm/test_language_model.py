@@ -47,6 +47,13 @@ def test_query_equals_plain_loops(spark, sf):
     assert_equal(QUERIES["op7_lm_score"](spark, sf), rows)
 
 
+def test_missing_and_repeated_ids_do_not_fill_one_chunk(spark, docs):
+    rows = [(None, f"text number {k} " * 5) for k in range(200)] + [(4, f"other {k} " * 8) for k in range(200)]
+    dealt = L.dealt(docs(rows), "doc_id", "text", L.FOLDS, L.HELD_OUT, 16)
+    assert dealt.groupBy("chunk").count().agg({"count": "max"}).first()[0] < 60
+    assert_equal(L.score_report(docs(rows), chunk_bytes=1500), rows)
+
+
 def test_small_chunks_and_edges(spark, docs):
     rows = [(1, "The THE the"), (2, None), (3, " \t"), (4, "ñandú the ▁x " + "a" * 60), (5, "the end"), (5, "the end"),
             (None, "the lone"), (30, "z" * 5000)]

@@ -4,7 +4,7 @@ import re
 import numpy as np
 
 from flowmine.llm import substrings as S
-from flowmine.llm.chunks import pack_sorted, unpack_sorted
+from flowmine.llm.chunks import pack_sorted, range_chunks, text_bytes, unpack_sorted
 
 
 def slow(rows, window):
@@ -45,6 +45,30 @@ def test_against_plain_windows_in_small_chunks(spark, docs):
         assert all(a["stop"] < b["start"] for a, b in zip(r["intervals"], r["intervals"][1:]))
 
 
+def test_missing_and_repeated_ids_are_dealt_further(spark, docs):
+    rng = np.random.default_rng(3)
+    passages = [" ".join(f"p{k}w{i}" for i in range(24)) for k in range(4)]
+    texts = [" ".join(rng.choice(list("abcdefgh"), 15)) + f" {passages[k % 4]} n{k}" for k in range(240)]
+    ids = [None] * 80 + [7] * 80 + list(range(-30, 50))
+    rows = [(i, t) for i, t in zip(ids, texts)] + [(7, None), (None, None), (None, ""), (7, texts[100])]
+    df = docs(rows)
+    hashed = df.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect()
+    assert all(S.text_hash(r["text"]) == r["h"] for r in hashed)
+    total, size = text_bytes(df), 2000
+    chunks = range_chunks(df, "doc_id", "c", total, size).selectExpr("doc_id", "c", "xxhash64(text) AS h", "text").collect()
+    held = {}
+    for r in chunks:
+        held[r["c"]] = held.get(r["c"], 0) + len(r["text"] or "")
+    assert len(chunks) == len(rows) and max(held.values()) < 3 * size
+    order = sorted(chunks, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["h"]))
+    assert [r["c"] for r in order] == sorted(r["c"] for r in chunks)
+    # The plain version walks ids by rank; ranks follow (id, hash of the text).
+    ranked = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, S.text_hash(r[1]), r[1] or ""))
+    want = sorted((w[1:] for w in slow([(k, t) for k, (_, t) in enumerate(ranked)], 20)), key=str)
+    got = sorted((r[1:] for r in rows_of(S.removal_report(df, chunk_bytes=size))), key=str)
+    assert got == want
+
+
 def test_cut_keeps_other_columns_and_separators(spark, docs):
     passage = " ".join(f"w{i}" for i in range(25))
     df = docs([(1, f"Start,\n{passage}\nend."), (2, f"Other \t{passage}\nend  here"), (3, None)])
