@@ -77,7 +77,7 @@ def events_of(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 
 def fold(events: DataFrame) -> DataFrame:
     """(conv_id, seq, role, text, copies): the final text of each message."""
-    log = F.array_distinct(F.array_sort(F.collect_list(F.struct("step", "kind", "text"))))
+    log = F.array_sort(F.collect_set(F.struct("step", "kind", "text")))
     grouped = events.groupBy("conv_id", "message").agg(
         F.min("seq").alias("seq"), F.max("role").alias("role"), log.alias("log"),
         F.count_if(F.col("kind") == "start").alias("copies"))

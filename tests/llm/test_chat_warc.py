@@ -45,6 +45,14 @@ def test_chat_fold_of_deltas_edits_and_regenerations(spark):
     assert chat.format_report(turns_of(spark, [])).count() == 0
 
 
+def test_chat_equal_events_fold_before_the_shuffle(spark):
+    rows = [(1, 0, "assistant", "same text")] * 50 + [(1, 1, "user", "other")]
+    folded = chat.fold(chat.events_of(turns_of(spark, rows)))
+    assert sorted(tuple(r) for r in folded.collect()) == [(1, 0, "assistant", "same text", 50), (1, 1, "user", "other", 1)]
+    plan = folded._jdf.queryExecution().executedPlan().toString()
+    assert "partial_collect_set" in plan and "collect_list" not in plan
+
+
 def pages_of(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
