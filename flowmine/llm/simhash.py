@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowmine.llm.common import stage
+from flowmine.llm.common import stage, unused
 from flowmine.llm.components import connected_components, find_roots, unite
 
 SHINGLE = 4
@@ -55,14 +55,15 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, fp) of every row."""
+    """(id, fp, h) of every row; h is the xxhash64 of its text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = pa.array((fingerprint(t.as_py()) for t in batch.column(1)), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps, batch.column(2)], ["id", "fp", "h"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+    body = F.col(text).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), body.alias("text"), F.xxhash64(body).alias("h"))
+    return rows.mapInArrow(run, "id long, fp long, h long")
 
 
 def ball_keys(fp: Column) -> Column:
@@ -178,23 +179,38 @@ def fingerprint_links(fps: DataFrame, run: int = RUN) -> DataFrame:
     return edges.unionAll(_compared(dealt, None).select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, fp, component_id) of every row; the component is its smallest id."""
+def _placed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, h, fp, root, component_id) of every row; h is the hash of its text, equal roots are one component."""
     prints = stage(with_fingerprints(docs, id_col, text))
     least = stage(prints.groupBy("fp").agg(F.min("id").alias("first")))
     roots = connected_components(fingerprint_links(least.select("fp")))
     placed = (least.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
               .select("fp", "first", F.coalesce("root", "fp").alias("root")))
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_print = placed.join(smallest, "root").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("id", "fp", "component_id")
+    return prints.join(placed.join(smallest, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, fp, component_id) of every row; the component is its smallest id."""
+    return _placed(docs, id_col, text).select("id", "fp", "component_id")
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest id; columns unchanged.
 
-    Rows without an id cannot be named as copies of each other and all stay.
+    Of rows that repeat the smallest id with other texts, that with the smallest
+    hash of the text is kept; a group without any id keeps one row, again by that
+    hash. Rows that repeat both the id and the text of the kept document all stay.
     """
-    heads = (near_duplicates(docs, id_col, text).filter("id = component_id")
-             .select(F.col("id").alias(id_col)).distinct())
-    return docs.join(heads, id_col, "left_semi").unionAll(docs.filter(F.col(id_col).isNull()))
+    key = F.struct(F.col("id").isNull().alias("late"), "id", "h")
+    heads = stage(_placed(docs, id_col, text).groupBy("root").agg(F.min(key).alias("k")).select("k.id", "k.h"))
+    head, hashed = unused(docs, "head_id"), unused(docs, "head_hash")
+    rows = docs.withColumn(hashed, F.xxhash64(F.col(text).cast("string")))
+    named, unnamed = heads.filter("id is not null"), heads.filter("id is null")
+    kept = rows.withColumn(head, F.col(id_col).cast("long")).join(
+        named.select(F.col("id").alias(head), F.col("h").alias(hashed)), [head, hashed], "left_semi").select(*docs.columns)
+    if unnamed.isEmpty():
+        return kept
+    lone = rows.filter(F.col(id_col).cast("long").isNull()).join(
+        unnamed.select(F.col("h").alias(hashed)), hashed, "left_semi").dropDuplicates([hashed]).select(*docs.columns)
+    return kept.unionAll(lone)

@@ -80,6 +80,16 @@ def test_edges(spark, docs):
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [3, 7, 9, 9]
 
 
+def test_one_representative_with_missing_and_repeated_ids(spark, docs):
+    a, b, c = "one two three four five", "six seven eight nine ten", "red green blue black white"
+    rows = [(1, a), (None, a), (None, b), (None, b), (None, b.upper()), (4, c), (1, c), (5, "alone here"), (5, a)]
+    kept = simhash.keep_representatives(docs(rows)).collect()
+    got = sorted((r["doc_id"] or 0, simhash.fingerprint(r["text"])) for r in kept)
+    assert got == sorted([(1, simhash.fingerprint(a)), (0, simhash.fingerprint(b)), (1, simhash.fingerprint(c)),
+                          (5, simhash.fingerprint("alone here"))])
+    assert simhash.keep_representatives(docs([])).count() == 0
+
+
 def F_lit():
     from pyspark.sql import functions as F
     return F.lit("x")
