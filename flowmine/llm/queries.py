@@ -9,12 +9,15 @@ from flowmine.llm.chat import format_report
 from flowmine.llm.common import table
 from flowmine.llm.language_model import score_report
 from flowmine.llm.licenses import TEMPLATES, scan
+from flowmine.llm.lines import dedup_report
 from flowmine.llm.mixing import mix_report
 from flowmine.llm.quality import quality_report
+from flowmine.llm.ranked import search
 from flowmine.llm.sentencepieces import encode
 from flowmine.llm.substrings import removal_report
 from flowmine.llm.vectors import near_duplicate_vectors
 from flowmine.llm.warc import archive_report
+from flowmine.llm.whitening import whitening_report
 from flowmine.llm.simhash import near_duplicates
 from flowmine.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -227,3 +230,58 @@ GROUP BY doc_id, name HAVING CAST(count(DISTINCT g) AS DOUBLE) / CAST(any_value(
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices that documents contain."""
     return scan(table(spark, sf_dir, "documents"))
+
+
+LINE_SQL = r"""
+WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS pos FROM s),
+k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+twice AS (
+  SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+m AS (SELECT k.*, twice.key IS NOT NULL AND doc_id <> first AS gone FROM k LEFT JOIN twice ON k.key = twice.key)
+SELECT doc_id, count(*) AS n_lines, CAST(count_if(gone) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
+@query("op11_line_dedup", LINE_SQL)
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that every document loses to an earlier one."""
+    return dedup_report(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+RANKED_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+n AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(w)) AS BIGINT) AS tokens FROM d WHERE len(w) > 0),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+i AS (
+  SELECT doc_id, term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT)
+    * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // tokens))) AS impact
+  FROM tf JOIN df USING (term), n),
+s AS (SELECT item_id, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM q JOIN i USING (term) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+WHERE rank <= 10
+"""
+
+
+@query("op12_ranked_search", RANKED_SQL)
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that score highest for every benchmark item."""
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the 16 strongest components of its table, scaled to unit variance."""
+    return whitening_report(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
