@@ -163,8 +163,7 @@ class LineIndex:
         row.coalesce(1).write.parquet(f"{self.path}/state/{self.state['version']}-{uuid.uuid4().hex}")
 
     def _shard(self) -> Column:
-        bits = self.state["bits"]
-        return (F.shiftrightunsigned("k1", 64 - bits) if bits else F.lit(0)).cast("int").alias("shard")
+        return F.shiftright(F.shiftrightunsigned("k1", 33).cast("int"), 31 - self.state["bits"]).alias("shard")
 
     # -- exact table ------------------------------------------------------
 
