@@ -322,6 +322,8 @@ class LineIndex:
     def drops(self) -> DataFrame:
         """(id, h, places) of the documents that lose lines; h is the xxhash64 of the text, places count from 0."""
         twice = self.counts().filter((F.col("refs") > 0) & _held_twice()).select("k1", "k2", "first")
+        # Written, so that the join has a plain exchange on both sides and a line of very many documents is split.
+        twice = self._read([self._write(twice, "twice")], "k1 long, k2 long, first long")
         lost = self.lines().join(twice, ["k1", "k2"]).filter(~F.col("id").eqNullSafe(F.col("first")))
         return lost.groupBy("id", "h").agg(F.collect_set("at").alias("places"))
 
