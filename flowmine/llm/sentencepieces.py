@@ -7,6 +7,9 @@ N - 1 units whose second path loses least; only for those does A* search the
 unit backwards from its end with the forward scores as exact estimate, and the
 lists are merged best first.
 
+Scores within 1e-7 count as tied (see ``pieces.nbest``), so paths closer than that
+may come in either order.
+
 Edge cases: a null text is encoded like an empty one (no pieces, one path, score
 zero) and decoding a null list gives null; decoding what was encoded gives the
 text back, whatever characters it holds. Repeated rows are encoded alike, an
@@ -16,32 +19,27 @@ empty table gives an empty result, and clashing columns of the input are not rea
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowmine.llm.common import Numbers
 from flowmine.llm.pieces import MODEL, UNIT, Pieces, forward, lattice, load_pieces, nbest
 from flowmine.llm.trellis import LONGEST, Trellis
 
 NBEST = 4
 #: Characters encoded at a time; each distinct unit among them is searched once.
-BATCH_CHARS = 6_000_000
+BATCH_CHARS = 1_000_000
 
 ENCODED = ("n_pieces long, score double, ids array<int>, "
            "alternatives array<struct<score: double, edits: array<struct<at: int, n: int, ids: array<int>>>>>")
 
 
-class _Numbers(dict):
-    """Numbers units as they are met."""
-
-    def __missing__(self, unit: str) -> int:
-        self[unit] = n = len(self)
-        return n
-
-
 def _best(trellis: Trellis, units: list[str]):
     """(ids, bounds, scores, losses) of the best paths; units too long to stack go one by one."""
     flat, bounds, scores, losses = trellis.best_paths(units)
@@ -73,17 +71,47 @@ def _merged(lists: list[tuple[int, list]], n: int) -> list[tuple[float, tuple]]:
     return best
 
 
+class _Alternatives:
+    """The column of next best paths, gathered in flat arrays."""
+
+    def __init__(self):
+        self.scores, self.at, self.n, self.ids = array("d"), array("i"), array("i"), array("i")
+        self.ways, self.edits, self.ends = array("i", [0]), array("i", [0]), array("i", [0])
+
+    def add(self, ways: list[tuple[float, list]]) -> None:
+        """A row's paths: (score, [(at, n, ids)])."""
+        for score, edits in ways:
+            self.scores.append(score)
+            for at, n, ids in edits:
+                self.at.append(at)
+                self.n.append(n)
+                self.ids.extend(ids)
+                self.ends.append(len(self.ids))
+            self.edits.append(len(self.at))
+        self.ways.append(len(self.scores))
+
+    def column(self) -> pa.ListArray:
+        def flat(values: array) -> pa.Array:
+            return pa.array(np.array(values))
+
+        ids = pa.ListArray.from_arrays(flat(self.ends), flat(self.ids))
+        edits = pa.StructArray.from_arrays([flat(self.at), flat(self.n), ids], ["at", "n", "ids"])
+        ways = pa.StructArray.from_arrays(
+            [flat(self.scores), pa.ListArray.from_arrays(flat(self.edits), edits)], ["score", "edits"])
+        return pa.ListArray.from_arrays(flat(self.ways), ways)
+
+
 def units_of(text: str) -> list[str]:
     return UNIT.findall(" " + text) if text else []
 
 
 def _encode_all(texts: list[str], trellis: Trellis, n: int) -> list[pa.Array]:
     """Columns of ``ENCODED`` for some texts."""
-    known = _Numbers()
+    known = Numbers()
     numbers = [np.fromiter(map(known.__getitem__, u), np.int64, len(u)) for u in map(units_of, texts)]
     names = list(known)
     flat, stops, scores, losses = _best(trellis, names)
-    ids, alternatives, totals = [], [], []
+    ids, totals, alternatives = [], [], _Alternatives()
     for k in numbers:
         lengths = stops[k + 1] - stops[k]
         ends = np.cumsum(lengths)
@@ -102,16 +130,13 @@ def _encode_all(texts: list[str], trellis: Trellis, n: int) -> list[pa.Array]:
             near = sorted([*under, *np.flatnonzero(loss == bound)[:n - 1 - len(under)]])
         lists = [(int(p), _paths(trellis.pieces, names[k[p]], tuple(flat[stops[k[p]]:stops[k[p] + 1]].tolist()), n))
                  for p in near if np.isfinite(loss[p])]
-        alternatives.append([{
-            "score": total - extra,
-            "edits": [{"at": int(ends[p] - lengths[p]), "n": int(lengths[p]), "ids": list(new)} for p, new in chosen],
-        } for extra, chosen in _merged(lists, n)[1:]])
+        alternatives.add([(total - extra, [(int(ends[p] - lengths[p]), int(lengths[p]), new) for p, new in chosen])
+                          for extra, chosen in _merged(lists, n)[1:]])
     counts = [len(x) for x in ids]
     offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
     values = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))
-    edit = pa.struct([("at", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])
     return [pa.array(counts, pa.int64()), pa.array(totals, pa.float64()), pa.ListArray.from_arrays(offsets, values),
-            pa.array(alternatives, pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(edit))])))]
+            alternatives.column()]
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = NBEST, model: str = MODEL,
@@ -131,8 +156,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int =
         trellis = Trellis(pieces)
         raw = np.array(pieces.bytes_of(), object)
         for batch in batches:
-            lengths = np.array([len(t) for t in batch.column(1).to_pylist()], np.int64) if batch.num_rows else []
-            part = np.cumsum(lengths) // BATCH_CHARS if batch.num_rows else []
+            lengths = pc.utf8_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            part = np.cumsum(lengths) // BATCH_CHARS
             for p in np.unique(part):
                 at = np.flatnonzero(part == p)
                 rows = batch.slice(int(at[0]), len(at))
@@ -143,6 +168,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int =
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), *columns, pa.array(ok, pa.bool_())],
                     ["doc_id", "n_pieces", "score", "ids", "alternatives", "round_trip"])
+                del texts, columns, ids
+            pa.default_memory_pool().release_unused()          # workers wait for later stages with little
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))

@@ -196,21 +196,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id; columns unchanged.
+    """One row of each group of near-duplicates, that with the smallest id; columns unchanged.
 
     Of rows that repeat the smallest id with other texts, that with the smallest
-    hash of the text is kept; a group without any id keeps one row, again by that
-    hash. Rows that repeat both the id and the text of the kept document all stay.
+    hash of the text is kept; of those that repeat the text as well, one, chosen by
+    a hash of all columns. A group without any id keeps one row in the same way.
     """
-    key = F.struct(F.col("id").isNull().alias("late"), "id", "h")
-    heads = stage(_placed(docs, id_col, text).groupBy("root").agg(F.min(key).alias("k")).select("k.id", "k.h"))
+    counted = _placed(docs, id_col, text).groupBy("root", "id", "h").agg(F.count(F.lit(1)).alias("copies"))
+    key = F.struct(F.col("id").isNull().alias("late"), "id", "h", "copies")
+    heads = stage(counted.groupBy("root").agg(F.min(key).alias("k")).select("k.id", "k.h", "k.copies"))
     head, hashed = unused(docs, "head_id"), unused(docs, "head_hash")
-    rows = docs.withColumn(hashed, F.xxhash64(F.col(text).cast("string")))
-    named, unnamed = heads.filter("id is not null"), heads.filter("id is null")
-    kept = rows.withColumn(head, F.col(id_col).cast("long")).join(
-        named.select(F.col("id").alias(head), F.col("h").alias(hashed)), [head, hashed], "left_semi").select(*docs.columns)
-    if unnamed.isEmpty():
-        return kept
-    lone = rows.filter(F.col(id_col).cast("long").isNull()).join(
-        unnamed.select(F.col("h").alias(hashed)), hashed, "left_semi").dropDuplicates([hashed]).select(*docs.columns)
-    return kept.unionAll(lone)
+    rows = docs.withColumns({head: F.col(id_col).cast("long"), hashed: F.xxhash64(F.col(text).cast("string"))})
+    # Few heads repeat or have no id; only their rows are grouped.
+    single, many = (heads.filter(f"id is not null and copies {which}").select(
+        F.col("id").alias(head), F.col("h").alias(hashed)) for which in ("= 1", "> 1"))
+    unnamed = heads.filter("id is null").select(F.col("h").alias(hashed))
+    kept = rows.join(single, [head, hashed], "left_semi").select(*docs.columns)
+    some = heads.agg(F.count_if("id is null"), F.count_if("id is not null and copies > 1")).first()
+
+    def one_each(found: DataFrame, *keys: str) -> DataFrame:
+        own = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns))
+        return found.groupBy(*keys).agg(own.alias("row")).select("row.*")
+
+    if some[1]:
+        kept = kept.unionAll(one_each(rows.join(many, [head, hashed], "left_semi"), head, hashed))
+    if some[0]:
+        kept = kept.unionAll(one_each(rows.filter(F.col(head).isNull()).join(unnamed, hashed, "left_semi"), hashed))
+    return kept

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowmine.llm.chunks import CHUNK_BYTES, pack_sorted, range_chunks, text_bytes, unpack_sorted
-from flowmine.llm.common import WORD_PATTERN, unused
+from flowmine.llm.common import WORD_PATTERN, Numbers, unused
 
 WINDOW = 20
 BASE = 0x9E3779B97F4A7C15
@@ -46,32 +46,26 @@ BUCKET_WINDOWS, WORD_BYTES = 1_000_000, 6
 _WORD = re.compile(WORD_PATTERN)
 
 
-class _Numbers(dict):
-    """Numbers words as they are met."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
-
-
 def window_hashes(words: np.ndarray, window: int) -> np.ndarray:
     """Hash of each window of word hashes: the sum of w[i+j] * BASE^(window-1-j) modulo 2^64, mixed."""
     n = len(words)
     if n < window:
         return np.zeros(0, np.uint64)
+    sums = np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
+    sums[0] = 1
+    np.cumprod(sums, out=sums)
+    sums *= words
+    np.cumsum(sums, out=sums)
+    sums[window:] -= sums[:-window].copy()
     up = np.full(n, BASE, np.uint64)
-    down = np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
+    up[0] = 1
     np.cumprod(up, out=up)
-    np.cumprod(down, out=down)
-    sums = np.cumsum(words * down)
-    sums[window:] -= sums[:-window].copy()
-    return _mixed(sums[window - 1:] * up[window - 1:])
+    up *= sums
+    h = up[window - 1:]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def text_hash(text: str | None) -> int:
@@ -93,7 +87,7 @@ class _Chunk:
         keys = pa.table([ids, pa.array(hashes), rows.column(text)], ["id", "hash", "text"])
         self.rows = rows.take(pc.sort_indices(keys, sort_keys=[(k, "ascending") for k in keys.column_names]))
         self.texts = self.rows.column(text)
-        numbers, parts = _Numbers(), []
+        numbers, parts = Numbers(), []
         for t in self.texts:
             words = (t.as_py() or "").encode("utf-8", "surrogatepass").split()
             parts.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
@@ -103,14 +97,20 @@ class _Chunk:
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in numbers), np.uint64, len(numbers))
         del numbers, parts
         rolled = window_hashes(hashes[ids], window)
-        left = np.repeat(self.offsets[1:], self.lengths)[:len(rolled)] - np.arange(len(rolled))
-        self.starts = np.flatnonzero(left >= window)                # windows inside one text
-        rolled = rolled[self.starts]
-        self.order = np.argsort(rolled, kind="stable")
-        ranked = rolled[self.order]
-        self.fresh = np.ones(len(ranked), bool)
-        self.fresh[1:] = ranked[1:] != ranked[:-1]
-        self.distinct = ranked[self.fresh]
+        del ids, hashes
+        inside = np.ones(len(rolled), bool)                          # windows inside one text
+        for before in range(1, window):
+            ends = self.offsets[1:] - before
+            inside[ends[(ends >= 0) & (ends < len(rolled))]] = False
+        self.starts = np.flatnonzero(inside).astype(np.int32)
+        rolled = rolled[inside]
+        del inside
+        self.order = np.argsort(rolled, kind="stable").astype(np.int32)
+        rolled = rolled[self.order]
+        self.fresh = np.ones(len(rolled), bool)
+        self.fresh[1:] = rolled[1:] != rolled[:-1]
+        self.distinct = rolled[self.fresh]
+        del rolled
         step = np.uint64(64 - (buckets.bit_length() - 1))
         edges = np.arange(1, buckets, dtype=np.uint64) << step if buckets > 1 else np.zeros(0, np.uint64)
         self.cuts = np.concatenate(([0], np.searchsorted(self.distinct, edges), [len(self.distinct)]))
@@ -128,6 +128,7 @@ def _send(id_col: str, text: str, window: int, buckets: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         chunk = _Chunk(rows, id_col, text, window, buckets)
         used = [b for b in range(buckets) if chunk.cuts[b] < chunk.cuts[b + 1]]
+        pa.default_memory_pool().release_unused()               # workers wait for later stages with little
         return pa.table({
             "bucket": pa.array(used, pa.int32()), "chunk": pa.array([key[0].as_py()] * len(used), pa.int64()),
             "packed": pa.array([pack_sorted(chunk.distinct[chunk.cuts[b]:chunk.cuts[b + 1]]) for b in used], pa.binary())})
