@@ -212,7 +212,7 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "t
         F.col("id").alias(head), F.col("h").alias(hashed)) for which in ("= 1", "> 1"))
     unnamed = heads.filter("id is null").select(F.col("h").alias(hashed))
     kept = rows.join(single, [head, hashed], "left_semi").select(*docs.columns)
-    some = heads.agg(F.count_if("id is null"), F.count_if("id is not null and copies > 1")).first()
+    some = heads.agg(F.expr("count_if(id is null)"), F.expr("count_if(id is not null and copies > 1)")).first()
 
     def one_each(found: DataFrame, *keys: str) -> DataFrame:
         own = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns))

@@ -64,7 +64,7 @@ PROSE = ("Seven wise owls watched from a tall old oak tree while the quick brown
 def edge_rows():
     """Good documents with null and repeated ids, repeated rows, a null and a very long text."""
     good = [PROSE.format(w) for w in ("twelve", "nine hundred strangely dressed", "no")]
-    varied = " ".join(f"{a}{b} word{a * 7 + b} and" for a in range(120) for b in range(90))
+    varied = " ".join(f"x{a}y{b} word{a * 7 + b} and" for a in range(120) for b in range(90))
     return [(1, good[0], "a"), (1, good[0], "a"), (1, "Quite another text: " + good[1], "b"), (None, good[2], None),
             (None, good[2], None), (None, None, "a"), (2, None, "a"), (3, "", "b"), (4, varied, "c"), (4, varied, "c"), (5, good[0], "b")]
 
