@@ -5,7 +5,8 @@ key is cut into *blocks* (time slices, hash slices or value ranges that follow
 the wanted order). Rows are partitioned by (key, block), a small table with one
 row per non-empty (key, block) carries the running state from block to block,
 and is joined back on the same two columns. The shuffle of the rows is the same
-one the plain window needs; only the summary is shuffled besides.
+one the plain window needs; only the summary is shuffled besides. Operators that
+get no block column (see ``slices``) are that plain window.
 """
 
 from __future__ import annotations
@@ -38,10 +39,13 @@ def _earlier(group: Sequence[str], block: str):
             .rowsBetween(Window.unboundedPreceding, -1))
 
 
-def add_lag(df: DataFrame, group: Sequence[str], order: Sequence[str], block: str,
+def add_lag(df: DataFrame, group: Sequence[str], order: Sequence[str], block: str | None,
             cols: Mapping[str, Column]) -> DataFrame:
     """Values of the previous row of the group, NULL on its first row."""
     names = list(cols)
+    if block is None:
+        w = Window.partitionBy(*group).orderBy(*order)
+        return df.withColumns({n: F.lag(cols[n]).over(w) for n in names})
     payload = F.struct(*[cols[n].alias(n) for n in names])
     last = (df.groupBy(*group, block)
             .agg(F.max_by(payload, F.struct(*order)).alias("__last")))
@@ -75,7 +79,22 @@ def add_running(df: DataFrame, group: Sequence[str], order: Sequence[str], block
     return out.drop(*[f"__v_{n}" for n in names], *[f"__o_{n}" for n in names])
 
 
-def ordered_runs(df: DataFrame, group: Sequence[str], order: Sequence[str], block: str,
+def _plain_runs(df: DataFrame, group: Sequence[str], order: Sequence[str], value: Column,
+                is_break: Callable[[Column, Column], Column], opens_piece: Callable[[Column], Column]) -> DataFrame:
+    """``ordered_runs`` by windows over whole groups."""
+    inside = Window.partitionBy(*group).orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumn("__val", value)
+    rows = rows.withColumn("__rn", F.row_number().over(inside)).withColumn("__lagged", F.lag("__val").over(inside))
+    rows = rows.withColumn("__brk", (F.col("__rn") == 1) | F.coalesce(
+        is_break(F.col("__lagged"), F.col("__val")), F.lit(True)))
+    rows = rows.withColumn("run_pos", (F.col("__rn") - F.max(F.when(F.col("__brk"), F.col("__rn"))).over(upto)).cast("long"))
+    return rows.withColumn("run_no", F.sum(F.col("__brk").cast("long")).over(upto)).withColumn(
+        "piece_no", F.sum((F.col("__brk") | opens_piece(F.col("run_pos"))).cast("long")).over(upto)).drop(
+        "__val", "__rn", "__lagged", "__brk")
+
+
+def ordered_runs(df: DataFrame, group: Sequence[str], order: Sequence[str], block: str | None,
                  value: Column, is_break: Callable[[Column, Column], Column],
                  cap: int = 0, cap_mode: str = "block") -> DataFrame:
     """Cut each group into runs wherever ``is_break(previous, current)`` holds.
@@ -84,9 +103,17 @@ def ordered_runs(df: DataFrame, group: Sequence[str], order: Sequence[str], bloc
     the run) and ``piece_no``, which numbers the pieces that remain when a run is
     also cut every ``cap`` rows ("block") or at each row past it ("singleton").
 
-    Group and block must not be NULL. The source is read twice: once for the rows, once for a summary per
-    (group, block) that says how many rows and breaks each block contributes.
+    Group and block must not be NULL. With blocks the source is read twice: once for the rows, once for a
+    summary per (group, block) that says how many rows and breaks each block contributes.
     """
+    def extra(pos: Column) -> Column:
+        """Whether a row that continues a run opens a new piece."""
+        if cap <= 0:
+            return F.lit(False)
+        return (pos >= cap) if cap_mode == "singleton" else (pos % cap == 0)
+
+    if block is None:
+        return _plain_runs(df, group, order, value, is_break, extra)
     inside = Window.partitionBy(*group, block).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     rows = df.withColumn("__val", value)
@@ -95,13 +122,6 @@ def ordered_runs(df: DataFrame, group: Sequence[str], order: Sequence[str], bloc
     rows = rows.withColumn("__brk", (F.col("__rn") > 1) & F.coalesce(
         is_break(F.col("__lagged"), F.col("__val")), F.lit(True)))
     rows = rows.withColumn("__from", F.max(F.when(F.col("__brk"), F.col("__rn"))).over(upto))
-
-    def extra(pos: Column) -> Column:
-        """Whether a row that continues a run opens a new piece."""
-        if cap <= 0:
-            return F.lit(False)
-        return (pos >= cap) if cap_mode == "singleton" else (pos % cap == 0)
-
     inner = F.col("__from").isNotNull() & (
         F.col("__brk") | extra(F.col("__rn") - F.col("__from")))
     summary = rows.groupBy(*group, block).agg(
@@ -148,9 +168,12 @@ def ordered_runs(df: DataFrame, group: Sequence[str], order: Sequence[str], bloc
     return out.drop("__val", "__rn", "__lagged", "__brk", "__from", "__b0", "__p0", "__or", "__on")
 
 
-def add_previous_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], block: str,
+def add_previous_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], block: str | None,
                       payload: Column, k: int, name: str = "previous") -> DataFrame:
     """Array of up to ``k`` preceding rows' payloads, oldest first."""
+    if block is None:
+        before = Window.partitionBy(*group).orderBy(*order).rowsBetween(-k, -1)
+        return df.withColumn(name, F.collect_list(payload).over(before))
     work = df.withColumn("__p", payload)
     desc = Window.partitionBy(*group, block).orderBy(*[F.col(c).desc() for c in order])
     tails = (work.withColumn("__rk", F.row_number().over(desc)).filter(F.col("__rk") <= k)

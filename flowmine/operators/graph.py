@@ -5,11 +5,13 @@ from __future__ import annotations
 import functools
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowmine.functions.columns import micros, quote
 from flowmine.operators.blocks import add_previous_rows, cut_rows, time_block
+from flowmine.operators.slices import SLICE_ROWS, sliced
+from flowmine.session import cut_lineage
 
 BLOCK_S = 900
 
@@ -33,17 +35,16 @@ def session_nodes(df: DataFrame, session: str, ts: str, features: Sequence[str],
 
 
 def session_edges(df: DataFrame, session: str, ts: str, host: str, max_in_degree: int = 10,
-                  max_gap_s: float | None = 900.0, block_s: int = BLOCK_S) -> DataFrame:
+                  max_gap_s: float | None = 900.0, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Edges (src, dst) from earlier to later sessions that share a host.
 
     Per host a session is linked from at most ``max_in_degree`` sessions, the
     most recent ones, if they began no longer than ``max_gap_s`` before it.
     """
-    us = micros(F.col(ts))
-    starts = df.groupBy(session).agg(F.min(us).alias("t0"))
-    seen = df.groupBy(session, host).agg(F.lit(1).alias("__x")).drop("__x").join(starts, session)
-    seen = seen.withColumn("__blk", time_block(F.col("t0"), block_s))
-    linked = add_previous_rows(seen, [host], ["t0", session], "__blk",
+    pairs = df.groupBy(session, host).agg(F.min(micros(F.col(ts))).alias("__t"))
+    seen = cut_lineage(pairs.select(session, host, F.min("__t").over(Window.partitionBy(session)).alias("t0")))
+    seen, block = sliced(seen.filter(F.col(host).isNotNull() & F.col("t0").isNotNull()), [host], ["t0", session], slice_rows)
+    linked = add_previous_rows(seen, [host], ["t0", session], block,
                                F.struct(F.col(session).alias("src"), F.col("t0").alias("ts")),
                                max_in_degree, "__before")
     edges = linked.select(F.explode("__before").alias("b"), F.col(session).alias("dst"),

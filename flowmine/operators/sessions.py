@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowmine.functions.columns import micros
-from flowmine.operators.blocks import ordered_runs, time_block
+from flowmine.operators.blocks import ordered_runs
+from flowmine.operators.slices import sliced
 from flowmine.session import cut_lineage
 from flowmine.settings import SessionSettings
 
@@ -67,10 +68,10 @@ def sessionize(df: DataFrame, key: str, ts: str, tie: Sequence[str],
     never = F.lit(NEVER)
     us = micros(F.col(ts))
     work = (df.withColumn("__k", F.coalesce(F.col(key).cast("string"), F.lit("")))
-            .withColumn("__us", F.coalesce(us, never))
-            .withColumn("__blk", F.coalesce(time_block(us, settings.block_s), never)))
+            .withColumn("__us", F.coalesce(us, never)))
+    work, block = sliced(work, ["__k"], ["__us", *tie], settings.slice_rows)
     runs = ordered_runs(
-        work, ["__k"], ["__us", *tie], "__blk", F.col("__us"),
+        work, ["__k"], ["__us", *tie], block, F.col("__us"),
         lambda before, now: (now != never) & ((now - before) / F.lit(1e6) > limit), cap, settings.cap_mode)
     return (runs.withColumn(name, F.concat_ws("#", F.col(key), F.col("piece_no").cast("string")))
             .drop("__k", "__us", "__blk", "run_no", "run_pos", "piece_no"))

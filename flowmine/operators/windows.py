@@ -8,23 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowmine.functions.columns import micros, quote
-from flowmine.operators.blocks import add_lag, add_previous_rows, time_block
-
-BLOCK_S = 3600
+from flowmine.operators.blocks import add_lag, add_previous_rows
+from flowmine.operators.slices import SLICE_ROWS, sliced
 
 
 def session_windows(df: DataFrame, session: str, ts: str, tie: Sequence[str], features: Sequence[str],
-                    length: int, name: str = "window", block_s: int = BLOCK_S) -> DataFrame:
+                    length: int, name: str = "window", slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Last ``length`` rows of the session at each row, oldest first.
 
     Short histories are padded with zero rows on the left; no window crosses
     into another session.
     """
-    work = (df.withColumn("__us", micros(F.col(ts)))
-            .withColumn("__blk", time_block(F.col("__us"), block_s)))
+    work = df.withColumn("__us", micros(F.col(ts)))
     step = F.array(*[quote(c).cast("double") for c in features])
     if length > 1:
-        work = add_previous_rows(work, [session], ["__us", *tie], "__blk", step, length - 1, "__before")
+        work, block = sliced(work, [session], ["__us", *tie], slice_rows)
+        work = add_previous_rows(work, [session], ["__us", *tie], block, step, length - 1, "__before")
         seen = F.concat(F.col("__before"), F.array(step))
     else:
         seen = F.array(step)
@@ -34,11 +33,10 @@ def session_windows(df: DataFrame, session: str, ts: str, tie: Sequence[str], fe
 
 
 def previous_state(df: DataFrame, session: str, ts: str, tie: Sequence[str], event: Column,
-                   name: str = "prev_state", block_s: int = BLOCK_S) -> DataFrame:
+                   name: str = "prev_state", slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Event of the previous row of the session, NULL on the first."""
-    work = (df.withColumn("__us", micros(F.col(ts)))
-            .withColumn("__blk", time_block(F.col("__us"), block_s)))
-    return add_lag(work, [session], ["__us", *tie], "__blk", {name: event}).drop("__us", "__blk")
+    work, block = sliced(df.withColumn("__us", micros(F.col(ts))), [session], ["__us", *tie], slice_rows)
+    return add_lag(work, [session], ["__us", *tie], block, {name: event}).drop("__us", "__blk")
 
 
 def event_sequences(df: DataFrame, unit: str, ts: str, tie: Sequence[str], event: Column,

@@ -11,7 +11,7 @@ from flowmine.operators.sessions import communication_key, sessionize
 from flowmine.settings import SessionSettings
 from flowmine.sources.views import EVENT_CLASSES, EVENT_FLOWS_SQL, event_flows
 
-HALF_DAY = SessionSettings(timeout_s=43200.0, max_flows=0, block_s=86400)
+HALF_DAY = SessionSettings(timeout_s=43200.0, max_flows=0)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}

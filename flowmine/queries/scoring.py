@@ -271,7 +271,7 @@ def fusion_rows(spark, sf):
     s = scores(spark, sf)
     seqs = windows.event_sequences(s, "user_id", "ts", ["row_id"], F.col("label"), 50)
     g = temporal.fit_transitions(seqs, EVENT_CLASSES)
-    d = windows.previous_state(s, "user_id", "ts", ["row_id"], F.col("label"), block_s=86400)
+    d = windows.previous_state(s, "user_id", "ts", ["row_id"], F.col("label"))
     d = fusion.add_context(d, g, EVENT_CLASSES)
     return cut_lineage(d.select("row_id", "ts", "y", "context", *[f"p_{m}" for m in MODELS],
                     (F.col("k") / 100.0).alias("sp"), (F.col("hour") / 24.0).alias("tc"),

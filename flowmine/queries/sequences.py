@@ -26,8 +26,7 @@ SELECT row_id, label, repeat('0:0,', CAST(4 - len(a) AS BIGINT)) ||
 
 @query("session_windows", _WINDOW_SQL)
 def _windows(spark, sf):
-    w = windows.session_windows(sessions_of(spark, sf), "session_id", "ts", ["row_id"], ["k", "hour"], 4,
-                                block_s=86400)
+    w = windows.session_windows(sessions_of(spark, sf), "session_id", "ts", ["row_id"], ["k", "hour"], 4)
     return w.select("row_id", "label", F.array_join(F.transform(
         "window", lambda r: F.concat_ws(":", r[0].cast("int").cast("string"), r[1].cast("int").cast("string"))),
         ",").alias("win"))
@@ -238,7 +237,7 @@ edges AS (SELECT DISTINCT a.session_id AS src, b.session_id AS dst, b.t0 AS t_ds
 
 
 def edges_of(spark, sf):
-    return graph.session_edges(sessions_of(spark, sf), "session_id", "ts", "src_ip", 5, 7200.0, 7200)
+    return graph.session_edges(sessions_of(spark, sf), "session_id", "ts", "src_ip", 5, 7200.0)
 
 
 @query("session_edges", f"WITH {_EDGE_SQL} SELECT src, dst, t_dst FROM edges")

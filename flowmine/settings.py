@@ -64,8 +64,8 @@ class SessionSettings:
     timeout_s: float = 1800.0
     max_flows: int = 200
     cap_mode: str = "block"
-    # Width of the time slices that split a busy key over several tasks.
-    block_s: int = 3600
+    # Rows of one key that a task takes; busier keys are cut into slices.
+    slice_rows: int = 1_000_000
 
 
 @dataclass(frozen=True)

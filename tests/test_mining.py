@@ -46,8 +46,8 @@ def test_transitions(spark):
 def test_windows_pad_and_do_not_cross(spark):
     d = spark.range(12).select("id", F.timestamp_seconds("id").alias("ts"),
                                F.when(F.col("id") < 7, "a").otherwise("b").alias("s"), F.col("id").cast("double").alias("x"))
-    for block in (1, 3, 1000):
-        w = windows.session_windows(d, "s", "ts", ["id"], ["x"], 4, block_s=block)
+    for slice_rows in (1, 3, 1000):
+        w = windows.session_windows(d, "s", "ts", ["id"], ["x"], 4, slice_rows=slice_rows)
         got = {r["id"]: [v[0] for v in r["window"]] for r in w.collect()}
         assert len(got) == 12 and got[0] == [0, 0, 0, 0] and got[6] == [3, 4, 5, 6]
         assert got[7] == [0, 0, 0, 7] and got[9] == [0, 7, 8, 9]

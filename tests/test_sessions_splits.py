@@ -51,12 +51,12 @@ def reference_sessions(times, timeout, cap, mode):
 
 
 @pytest.mark.parametrize("mode", ["block", "singleton"])
-@pytest.mark.parametrize("block_s", [1, 7, 100000])
-def test_cap_matches_a_plain_loop_for_any_slice_width(spark, mode, block_s):
+@pytest.mark.parametrize("slice_rows", [2, 7, 100000])
+def test_cap_matches_a_plain_loop_for_any_slice(spark, mode, slice_rows):
     times = [0, 1, 2, 3, 4, 5, 20, 21, 22, 23, 24, 25, 26, 27, 50, 51, 90, 91, 92]
     d = spark.createDataFrame([(i, "k", t) for i, t in enumerate(times)], "row_id int, key string, s long").withColumn(
         "ts", F.timestamp_seconds("s"))
-    s = sessionize(d, "key", "ts", ["row_id"], SessionSettings(timeout_s=5, max_flows=3, cap_mode=mode, block_s=block_s))
+    s = sessionize(d, "key", "ts", ["row_id"], SessionSettings(timeout_s=5, max_flows=3, cap_mode=mode, slice_rows=slice_rows))
     got = [int(r[1].split("#")[1]) for r in rows(s.select("row_id", "session_id"), "row_id")]
     assert got == reference_sessions(times, 5, 3, mode)
 
