@@ -59,10 +59,13 @@ def add_lag(df: DataFrame, group: Sequence[str], order: Sequence[str], block: st
     return out.drop("__prev", "__carry")
 
 
-def add_running(df: DataFrame, group: Sequence[str], order: Sequence[str], block: str,
+def add_running(df: DataFrame, group: Sequence[str], order: Sequence[str], block: str | None,
                 sums: Mapping[str, Column]) -> DataFrame:
     """Inclusive running sums in order within each group."""
     names = list(sums)
+    if block is None:
+        upto = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({n: F.sum(sums[n]).over(upto) for n in names})
     work = df
     for n in names:
         work = work.withColumn(f"__v_{n}", sums[n])
@@ -194,6 +197,38 @@ def add_previous_rows(df: DataFrame, group: Sequence[str], order: Sequence[str],
             .drop("__p", "__carry", "__all"))
 
 
+def add_neighbours(df: DataFrame, group: Sequence[str], order: Sequence[str], block: str | None, payload: Column,
+                   k: int, before: str = "before", after: str = "after") -> DataFrame:
+    """Arrays of up to ``k`` preceding and ``k`` following rows' payloads, both in order.
+
+    A slice gets the last ``k`` rows before it and the first ``k`` behind it; each of
+    up to ``k`` slices on either side may hold as little as one of them.
+    """
+    if block is None:
+        w = Window.partitionBy(*group).orderBy(*order)
+        return df.withColumns({before: F.collect_list(payload).over(w.rowsBetween(-k, -1)),
+                               after: F.collect_list(payload).over(w.rowsBetween(1, k))})
+    work = df.withColumn("__p", payload)
+    inside = Window.partitionBy(*group, block).orderBy(*order)
+    ranked = work.withColumn("__up", F.row_number().over(inside)).withColumn(
+        "__down", F.count(F.lit(1)).over(Window.partitionBy(*group, block)) - F.col("__up") + 1)
+
+    def gathered(rank: str, sign: int) -> Column:
+        rows = F.collect_list(F.when(F.col(rank) <= k, F.struct((F.col(rank) * sign).alias("o"), F.col("__p").alias("p"))))
+        return F.transform(F.sort_array(rows), lambda s: s["p"])
+
+    ends = ranked.filter(F.least("__up", "__down") <= k).groupBy(*group, block).agg(
+        gathered("__up", 1).alias("__head"), gathered("__down", -1).alias("__tail"))
+    w = Window.partitionBy(*group).orderBy(block)
+    ends = ends.select(*group, block, F.flatten(F.collect_list("__tail").over(w.rowsBetween(-k, -1))).alias("__left"),
+                       F.flatten(F.collect_list("__head").over(w.rowsBetween(1, k))).alias("__right"))
+    left = F.concat(F.col("__left"), F.collect_list("__p").over(inside.rowsBetween(-k, -1)))
+    right = F.concat(F.collect_list("__p").over(inside.rowsBetween(1, k)), F.col("__right"))
+    out = work.join(ends, [*group, block]).withColumns({"__l": left, "__r": right})
+    return out.withColumns({before: F.when(F.size("__l") > k, F.slice("__l", -k, k)).otherwise(F.col("__l")),
+                            after: F.slice("__r", 1, k)}).drop("__p", "__left", "__right", "__l", "__r")
+
+
 def cut_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], block: str,
              weight: Column, targets: DataFrame, keep: Mapping[str, Column]) -> DataFrame:
     """First row of each group at which the running weight reaches a target.

@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 
 from flowmine.functions.columns import bins_below, hash_slice, literal_map, quote, seeded_order
 from flowmine.operators import metrics
-from flowmine.operators.blocks import add_running
+from flowmine.operators.blocks import add_neighbours, add_running
 from flowmine.operators.fitted import medians
 from flowmine.operators.quantiles import exact_quantiles
 from flowmine.operators.sampling import holdout, stratified_sample
+from flowmine.operators.slices import SLICE_ROWS, sliced
 from flowmine.operators.windows import session_windows
 from flowmine.session import cut_lineage, shared_folder
 from flowmine.settings import SelectionSettings
@@ -103,22 +104,23 @@ def digamma(n: Column) -> Column:
 
 
 def mutual_information(df: DataFrame, features: Sequence[str], label: str, row_id: str, k: int = 3,
-                       ranges: int = 64) -> DataFrame:
+                       slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Nearest-neighbour estimate (Ross 2014) of each feature's information on the label.
 
     In one dimension the k-th neighbour of the same class lies among the k rows
     before and after in sorted order; how many rows of any class lie nearer is a
-    difference of two running counts over points and interval ends.
-    Features are expected on a [0, 1] scale, which the value slices follow.
+    difference of two running counts over points and interval ends. Features and
+    classes of more than ``slice_rows`` rows are cut by value; each slice gets the k
+    rows on either side of it.
     """
     x = F.array(*[F.struct(F.lit(c).alias("feature"), quote(c).cast("double").alias("x")) for c in features])
     long = df.select(F.col(row_id).alias("r"), F.col(label).alias("y"), F.explode(x).alias("e")).select(
         "r", "y", "e.feature", "e.x")
     sizes = df.groupBy(F.col(label).alias("y")).agg(F.count(F.lit(1)).alias("ny")).filter("ny > 1")
     long = long.join(F.broadcast(sizes), "y")
-    w = Window.partitionBy("feature", "y").orderBy("x", "r")
-    gaps = [F.abs(F.col("x") - f("x", i).over(w)) for i in range(1, k + 1) for f in (F.lag, F.lead)]
-    near = F.array_sort(F.array_compact(F.array(*gaps)))
+    long, block = sliced(long, ["feature", "y"], ["x", "r"], slice_rows)
+    long = add_neighbours(long, ["feature", "y"], ["x", "r"], block, F.col("x"), k)
+    near = F.array_sort(F.transform(F.concat("before", "after"), lambda v: F.abs(F.col("x") - v)))
     kk = F.least(F.lit(k), F.col("ny") - 1)
     pts = long.withColumn("near", near).withColumn("k", kk).withColumn("d", F.get("near", (kk - 1).cast("int")))
     tie = F.col("d") == 0
@@ -129,8 +131,9 @@ def mutual_information(df: DataFrame, features: Sequence[str], label: str, row_i
         F.struct((F.col("x") - F.col("d")).alias("v"), F.when(tie, 0).otherwise(2).alias("o"), F.lit(0).alias("pt"),
                  F.lit(-1).alias("sign")))
     ev = pts.select("feature", "r", "k", "ny", F.explode(marks).alias("m")).select(
-        "feature", "r", "k", "ny", "m.*").withColumn("blk", F.floor(F.col("v") * ranges))
-    run = add_running(ev, ["feature"], ["v", "o", "r", "sign"], "blk", {"c": F.col("pt").cast("long")})
+        "feature", "r", "k", "ny", "m.*")
+    ev, block = sliced(cut_lineage(ev), ["feature"], ["v", "o", "r", "sign"], slice_rows)
+    run = add_running(ev, ["feature"], ["v", "o", "r", "sign"], block, {"c": F.col("pt").cast("long")})
     m = run.filter("sign <> 0").groupBy("feature", "r").agg(
         F.sum(F.col("c") * F.col("sign")).alias("m"), F.first("k").alias("k"), F.first("ny").alias("ny"))
     t = m.groupBy("feature").agg(

@@ -2,26 +2,57 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.fpm import FPGrowth, PrefixSpan
+from pyspark.ml.fpm import PrefixSpan
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowmine.functions.arrays import contains_in_order
 from flowmine.operators.windows import event_sequences
+from flowmine.session import cut_lineage
 from flowmine.settings import TemporalSettings
 
 
 def frequent_itemsets(sequences: DataFrame, min_support: float = 0.02, max_len: int = 4) -> DataFrame:
-    """Sets of events found together in at least a share of the sequences."""
-    baskets = sequences.select(F.array_distinct("events").alias("items"))
+    """Sets of up to ``max_len`` events found together in at least a share of the sequences.
+
+    Level by level: two frequent sets that differ in their last event only make a
+    candidate, a basket that holds the first of them goes on with the candidates'
+    last events that it holds too, and equal baskets count as one with a weight.
+    Nothing longer than ``max_len`` is ever counted.
+    """
+    baskets = sequences.select(F.array_sort(F.array_distinct(F.array_compact("events"))).alias("items"))
     n = baskets.count()
-    model = FPGrowth(itemsCol="items", minSupport=min_support).fit(baskets)
-    return (model.freqItemsets.filter(F.size("items") <= max_len)
-            .select(F.array_sort("items").alias("items"), F.col("freq").alias("cnt"),
-                    (F.col("freq") / F.lit(n)).alias("support")))
+    least = math.ceil(min_support * n)
+    baskets = cut_lineage(baskets.groupBy("items").agg(F.count(F.lit(1)).alias("w")))
+
+    def counted(rows: DataFrame) -> DataFrame:
+        found = rows.groupBy("items").agg(F.sum("w").alias("cnt")).filter(F.col("cnt") >= max(least, 1))
+        return cut_lineage(found)
+
+    # A row is a set within a basket and the basket's events behind it.
+    rows = baskets.select("w", F.explode("items").alias("e"), F.col("items").alias("all")).select(
+        "w", F.array("e").alias("items"), F.filter("all", lambda x: x > F.col("e")).alias("rest"))
+    level = counted(rows)
+    out = level
+    for _ in range(max_len - 1):
+        ends = level.select(F.slice("items", 1, F.size("items") - 1).alias("head"), "items",
+                            F.element_at("items", -1).alias("last"))
+        more = ends.select("head", F.col("items").alias("_items"), F.col("last").alias("_last"))
+        allowed = (ends.join(more, "head").filter(F.col("last") < F.col("_last"))
+                   .groupBy("items").agg(F.collect_set("_last").alias("next")))
+        rows = (rows.join(allowed, "items")
+                .select("w", "items", "rest", F.explode(F.array_intersect("rest", "next")).alias("e"))
+                .select("w", F.concat("items", F.array("e")).alias("items"),
+                        F.filter("rest", lambda x: x > F.col("e")).alias("rest")))
+        level = counted(rows)
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
+    return out.select("items", "cnt", (F.col("cnt") / F.lit(n)).alias("support"))
 
 
 def frequent_patterns(sequences: DataFrame, min_support: float = 0.02, max_len: int = 5,

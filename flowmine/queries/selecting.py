@@ -8,7 +8,8 @@ from flowmine.operators import rankers, redundancy, selection
 from flowmine.operators.fitted import Preprocessor
 from flowmine.queries.common import query
 from flowmine.settings import SelectionSettings
-from flowmine.sources.views import LINE_CLASSES, LINE_FLOWS_SQL, event_flows, line_flows
+from flowmine.sources.views import (EVENT_CLASSES, EVENT_FLOWS_SQL, LINE_CLASSES, LINE_FLOWS_SQL, event_flows,
+                                    line_flows)
 
 FEATURES = ["quantity", "price", "discount", "tax"]
 WIDE = ["quantity", "price", "discount", "tax", "quantity_copy", "constant", "price_like"]
@@ -112,7 +113,6 @@ def _mib(spark, sf):
 
 def _event_scaled(spark, sf):
     e = event_flows(spark, sf)
-    from flowmine.sources.views import EVENT_CLASSES
     y = (F.array_position(F.array(*[F.lit(c) for c in EVENT_CLASSES]), F.col("label")) - 1).cast("int")
     d = e.withColumn("y", y).withColumn("shift", F.col("y") * 40 + F.col("k"))
     p = Preprocessor(["value", "k", "hour", "shift"]).fit(d)
@@ -122,9 +122,40 @@ def _event_scaled(spark, sf):
 EVENT_FEATURES = ["value", "k", "hour", "shift"]
 
 
-@query("rank_information_neighbours")
+def _digamma_sql(n: str) -> str:
+    x, e = f"(CAST({n} AS DOUBLE) + 6.0::DOUBLE)", "::DOUBLE"
+    y = f"(1.0{e} / ({x} * {x}))"
+    inner = f"{1 / 12.0!r}{e} - {y} * ({1 / 120.0!r}{e} - {y} / 252.0{e})"
+    steps = "".join(f" - 1.0{e} / (CAST({n} AS DOUBLE) + {i}.0{e})" for i in range(6))
+    return f"(ln({x}) - 0.5{e} / {x} - {y} * ({inner}){steps})"
+
+
+_NEIGHBOURS_SQL = f"""
+WITH {EVENT_FLOWS_SQL},
+f AS (SELECT row_id AS r, list_position({EVENT_CLASSES}, label) - 1 AS y, value, k, hour FROM flows),
+g AS (SELECT r, y, coalesce(value, median(value) OVER ()) AS value, coalesce(k, median(k) OVER ()) AS k, hour,
+  CAST(y * 40 + k AS DOUBLE) AS shift0 FROM f),
+h AS (SELECT r, y, value, k, hour, coalesce(shift0, median(shift0) OVER ()) AS shift FROM g),
+m AS (SELECT {', '.join(f'min({c}) AS a_{c}, max({c}) AS b_{c}' for c in EVENT_FEATURES)} FROM h),
+sc AS (SELECT r, y, {', '.join(f'({c} - a_{c}) / (b_{c} - a_{c}) AS {c}' for c in EVENT_FEATURES)} FROM h, m),
+lg AS (UNPIVOT sc ON {', '.join(EVENT_FEATURES)} INTO NAME feature VALUE x),
+sz AS (SELECT y, count(*) AS ny FROM f GROUP BY y HAVING count(*) > 1),
+p AS (SELECT feature, r, x, ny, least(3, ny - 1) AS kk, list_sort(list_filter(
+    [{', '.join(f'abs(x - {w}(x, {i}) OVER w)' for i in (1, 2, 3) for w in ('lag', 'lead'))}], lambda v: v IS NOT NULL))[least(3, ny - 1)] AS d
+  FROM lg JOIN sz USING (y) WINDOW w AS (PARTITION BY feature, y ORDER BY x, r)),
+v AS (SELECT feature, x AS v, count(*) AS c FROM p GROUP BY feature, x),
+n AS (SELECT p.feature, p.r, sum(c) AS m FROM p JOIN v ON p.feature = v.feature
+  AND v.v >= p.x - p.d AND v.v <= p.x + p.d AND (p.d = 0 OR (v.v > p.x - p.d AND v.v < p.x + p.d)) GROUP BY p.feature, p.r),
+t AS (SELECT feature, count(*) AS n, avg({_digamma_sql('kk')}) AS a, avg({_digamma_sql('ny')}) AS b, avg({_digamma_sql('m')}) AS c
+  FROM p JOIN n USING (feature, r) GROUP BY feature)
+SELECT feature, CAST(list_position({EVENT_FEATURES}, feature) - 1 AS INTEGER) AS pos,
+  round(greatest(0.0::DOUBLE, {_digamma_sql('n')} + a - b - c), 6) AS score FROM t"""
+
+
+@query("rank_information_neighbours", _NEIGHBOURS_SQL)
 def _mi(spark, sf):
-    return rankers.RANKERS["mi"](_event_scaled(spark, sf), EVENT_FEATURES, "y", "row_id")
+    return rankers.RANKERS["mi"](_event_scaled(spark, sf), EVENT_FEATURES, "y", "row_id").select(
+        "feature", "pos", F.round("score", 6).alias("score"))
 
 
 @query("rank_forest")

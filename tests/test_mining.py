@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -68,3 +70,24 @@ def test_edges_match_a_loop(spark):
     e = graph.session_edges(d, "session_id", "ts", "host", 3, 20.0, 5)
     assert {(r["src"], r["dst"]) for r in e.collect()} == brute_edges(data, 3, 20)
     assert graph.limit_edges(e, 5, 5).count() == 5 and graph.limit_edges(e, 10**6, 5).count() == e.count()
+
+
+def test_itemsets_equal_all_subsets_and_stop_at_their_length(spark):
+    from itertools import combinations
+
+    baskets = [["a", "b", "c"], ["b", "a"], ["a", "c", "a"], ["d"], ["a", "b", "c", "d", "e"], [], ["b", None], ["a", "b"]]
+    d = spark.createDataFrame([(i, b) for i, b in enumerate(baskets)], "session_id long, events array<string>")
+    for support, longest in ((0.25, 4), (0.125, 3), (0.5, 2), (0.0, 1)):
+        counts = {}
+        for b in baskets:
+            items = sorted({x for x in b if x is not None})
+            for k in range(1, longest + 1):
+                for s in combinations(items, k):
+                    counts[s] = counts.get(s, 0) + 1
+        least = max(1, math.ceil(support * len(baskets)))
+        got = {tuple(r["items"]): (r["cnt"], r["support"]) for r in temporal.frequent_itemsets(d, support, longest).collect()}
+        assert got == {s: (n, n / len(baskets)) for s, n in counts.items() if n >= least}
+    clique = [f"e{i:02d}" for i in range(40)]
+    d = spark.createDataFrame([(i, clique) for i in range(50)], "session_id long, events array<string>")
+    assert temporal.frequent_itemsets(d, 0.5, 4).count() == 40 + 780 + 9880 + 91390
+    assert temporal.frequent_itemsets(d.limit(0), 0.5, 4).count() == 0

@@ -2,6 +2,7 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from flowmine.operators import graph, windows
@@ -64,3 +65,27 @@ def test_operators_give_the_same_with_and_without_slices(spark):
         if rows == 300:
             first = w, p, e
     assert first == (w, p, e) and len(e) > 500
+
+
+def test_neighbours_cross_the_borders_of_slices(spark):
+    from flowmine.operators.blocks import add_neighbours
+
+    d = spark.range(400).select("id", F.lit("g").alias("g"), F.floor(F.col("id") / 7).alias("x"))
+    d = d.withColumn("b", F.floor(F.col("id") / 60) * 10 + F.when(F.col("id") % 60 == 0, 0).otherwise(1))    # slices of one row too
+    plain = add_neighbours(d, ["g"], ["x", "id"], None, F.col("id"), 3)
+    cut = add_neighbours(d, ["g"], ["x", "id"], "b", F.col("id"), 3)
+    want = {i: ([j for j in range(i - 3, i) if j >= 0], [j for j in range(i + 1, i + 4) if j < 400]) for i in range(400)}
+    for df in (plain, cut):
+        assert {r["id"]: (r["before"], r["after"]) for r in df.collect()} == want
+
+
+def test_information_is_the_same_when_values_are_sliced(spark):
+    from flowmine.operators.rankers import mutual_information
+
+    i = F.col("id")
+    d = spark.range(2000).select(i.alias("r"), F.when(i % 20 == 0, 1).when(i == 7, 2).otherwise(0).alias("y"),
+                                 (F.pmod(F.xxhash64(i), F.lit(997)) / 997.0 + F.when(i % 20 == 0, 0.3).otherwise(0.0)).alias("a"),
+                                 F.when(i % 3 == 0, 0.25).otherwise(0.5).cast("double").alias("b"))
+    plain = {r["feature"]: r["score"] for r in mutual_information(d, ["a", "b"], "y", "r").collect()}
+    cut = {r["feature"]: r["score"] for r in mutual_information(d, ["a", "b"], "y", "r", slice_rows=150).collect()}
+    assert plain == pytest.approx(cut, abs=1e-12) and plain["a"] > 0
