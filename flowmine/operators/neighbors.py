@@ -1,12 +1,14 @@
-"""Exact nearest neighbours by pivots.
+"""Exact nearest neighbours by pivots and tiles.
 
 Some rows, at most ``MAX_PIVOTS`` of a group, serve as pivots; each row lies in the
-cell of its nearest pivot. The k-th distance inside the own cell bounds the
-search: another cell can hold a nearer row only if its ring of distances from
-its pivot, by the triangle inequality, comes within that bound. A row is then
-compared with those cells alone. Cells of more than ``block_rows`` rows are cut
-into blocks, so no task sees more than one block beside the rows that ask, and
-only k rows per (row, block) leave it.
+cell of its nearest pivot. Cells of more than ``block_rows`` rows are cut into
+blocks in order of the distance from the pivot, so every block is a ring around
+it. A row first looks into its own block; the k-th distance there bounds the
+search, and by the triangle inequality another block can hold a nearer row only
+if its ring comes within that bound. The rows that ask a block are dealt into
+blocks of the same size: a task compares one tile of asking rows and candidates,
+each about ``block_rows`` (twice that at most), and only k rows for each asking
+row leave it. A cell that a third of all rows lie in is many such tiles.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowmine.operators.slices import sliced
 from flowmine.session import cut_lineage
 
 OUT = "grp string, id string, dist double, other string, other_y int, other_x array<double>"
@@ -84,44 +87,56 @@ def nearest(df: DataFrame, k: int, row_id: str, vector: str, label: str, within:
                 yield part.assign(cell=cell.astype("int32"), away=d[np.arange(len(part)), cell])
 
     placed = cut_lineage(rows.mapInPandas(place, PLACED))
-    stats = placed.groupBy("grp", "cell").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("blocks"),
-        F.min("away").alias("low"), F.max("away").alias("high"))
-    rings = {(r["grp"], r["cell"]): (r["low"], r["high"], r["blocks"]) for r in stats.collect()}   # one per pivot
-    blocks = F.broadcast(stats.select("grp", "cell", "blocks"))
-    members = placed.join(blocks, ["grp", "cell"]).select(
+    placed, cut = sliced(placed, ["grp", "cell"], ["away", "id"], block_rows, "block")
+    placed = placed.withColumn("block", F.lit(0).cast("long")) if cut is None else cut_lineage(placed)
+    blocks = cut_lineage(placed.groupBy("grp", "cell", "block").agg(F.min("away").alias("low"), F.max("away").alias("high")))
+    rings = {(r["grp"], r["cell"]): (r["low"], r["high"], r["n"]) for r in blocks.groupBy("grp", "cell").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.count(F.lit(1)).alias("n")).collect()}   # one per pivot
+    members = placed.select(
         F.col("grp").alias("r_grp"), F.col("id").alias("r_id"), F.col("x").alias("r_x"), F.col("y").alias("r_y"),
-        F.col("cell").alias("r_cell"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("r_block"))
+        F.col("cell").alias("r_cell"), F.col("block").alias("r_block"))
 
-    def search(asked: DataFrame) -> DataFrame:
-        spread = asked.join(blocks, ["grp", "cell"]).select(
-            "grp", "id", "x", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        return spread.groupBy("grp", "cell", "block").cogroup(
-            members.groupBy("r_grp", "r_cell", "r_block")).applyInPandas(_best(k, with_vectors), OUT)
+    def search(asked: DataFrame, candidates: DataFrame) -> DataFrame:
+        """Tiles: the asking rows of a tile meet the candidates of its block."""
+        return asked.groupBy("grp", "cell", "block", "tile").cogroup(
+            candidates.groupBy("r_grp", "r_cell", "r_block", "r_tile")).applyInPandas(_best(k, with_vectors), OUT)
 
     def merged(found: DataFrame) -> DataFrame:
         return found.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct(
             "dist", "other", "other_y", "other_x"))), 1, k).alias("neighbours"))
 
-    own = cut_lineage(search(placed.select("grp", "id", "x", "cell")))
+    own = cut_lineage(search(placed.select("grp", "id", "x", "cell", "block", F.lit(0).cast("long").alias("tile")),
+                             members.withColumn("r_tile", F.lit(0).cast("long"))))
     bounds = merged(own).select("id", F.when(F.size("neighbours") == k, F.get("neighbours", F.lit(k - 1))["dist"]).alias("reach"))
 
     def further(batches):
-        """The other cells that may hold a nearer row."""
+        """The cells, the own one if it has more blocks, that may hold a nearer row, and the row's distance from their pivot."""
         for pdf in batches:
             for g, part in pdf.groupby("grp", sort=False):
                 ring = [rings.get((g, c), (np.inf, -np.inf, 0)) for c in range(len(pivots[g]))]
-                low, high = np.array([r[0] for r in ring]), np.array([r[1] for r in ring])
+                low, high, many = np.array([r[0] for r in ring]), np.array([r[1] for r in ring]), np.array([r[2] > 1 for r in ring])
                 d = _distances(np.stack(part["x"].to_numpy()), pivots[g])
-                reach = part["reach"].fillna(np.inf).to_numpy()[:, None] * (1 + 1e-9) + 1e-12
-                near = (d - high <= reach) & (low - d <= reach) & (high >= low)
-                near[np.arange(len(part)), part["cell"].to_numpy()] = False
+                reach = part["reach"].fillna(np.inf).to_numpy() * (1 + 1e-9) + 1e-12
+                near = (d - high <= reach[:, None]) & (low - d <= reach[:, None]) & (high >= low)
+                home = part["cell"].to_numpy()
+                near[np.arange(len(part)), home] = many[home]
                 row, cell = np.nonzero(near)
                 if not len(row):
                     continue
-                yield pd.DataFrame({"grp": g, "id": part["id"].to_numpy()[row], "x": part["x"].to_numpy()[row],
-                                    "cell": cell.astype("int32")})
-
-    asked = placed.join(bounds, "id", "left").select("grp", "id", "x", "cell", "reach").mapInPandas(
-        further, "grp string, id string, x array<double>, cell int")
-    return merged(own.unionByName(search(asked)))
+                yield pd.DataFrame({
+                    "grp": g, "id": part["id"].to_numpy()[row], "x": part["x"].to_numpy()[row], "cell": cell.astype("int32"),
+                    "apart": d[row, cell], "reach": reach[row],
+                    "own": np.where(cell == home[row], part["block"].to_numpy()[row], -1)})
+
+    asked = placed.join(bounds, "id", "left").select("grp", "id", "x", "cell", "block", "reach").mapInPandas(
+        further, "grp string, id string, x array<double>, cell int, apart double, reach double, own long")
+    asked = asked.join(blocks, ["grp", "cell"]).filter(
+        (F.col("block") != F.col("own")) & (F.col("apart") - F.col("high") <= F.col("reach"))
+        & (F.col("low") - F.col("apart") <= F.col("reach"))).select("grp", "id", "x", "cell", "block")
+    asked = cut_lineage(asked)
+    tiles = cut_lineage(asked.groupBy("grp", "cell", "block").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias("tiles")))
+    asked = asked.join(tiles, ["grp", "cell", "block"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles"))).drop("tiles")
+    sent = members.join(tiles.toDF("r_grp", "r_cell", "r_block", "tiles"), ["r_grp", "r_cell", "r_block"]).withColumn(
+        "r_tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).drop("tiles")
+    return merged(own.unionByName(search(asked, sent)))

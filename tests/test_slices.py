@@ -89,3 +89,28 @@ def test_information_is_the_same_when_values_are_sliced(spark):
     plain = {r["feature"]: r["score"] for r in mutual_information(d, ["a", "b"], "y", "r").collect()}
     cut = {r["feature"]: r["score"] for r in mutual_information(d, ["a", "b"], "y", "r", slice_rows=150).collect()}
     assert plain == pytest.approx(cut, abs=1e-12) and plain["a"] > 0
+
+
+def test_nearest_rows_of_one_dense_cell_in_small_tiles(spark):
+    import numpy as np
+
+    from flowmine.operators import neighbors
+
+    rng = np.random.default_rng(3)
+    far = rng.normal(size=(240, 3)) * 50
+    dense = rng.normal(size=(100, 3)) * 0.01 + 500
+    same = np.repeat([[9.0, 9.0, 9.0]], 60, axis=0)
+    x = np.concatenate([far, dense, same])
+    d = spark.createDataFrame([(f"{i:04d}", r.tolist(), i % 3) for i, r in enumerate(x)], "id string, x array<double>, y int")
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(dist, np.inf)
+    want = {f"{i:04d}": [(pytest.approx(dist[i, j]), f"{j:04d}") for j in np.argsort(dist[i], kind="stable")[:4]] for i in range(len(x))}
+    for rows in (15, 10_000):
+        got = {r["id"]: [(n["dist"], n["other"]) for n in r["neighbours"]]
+               for r in neighbors.nearest(d, 4, "id", "x", "y", block_rows=rows).collect()}
+        assert got == want
+    got = {r["id"]: [n["other"] for n in r["neighbours"]]
+           for r in neighbors.nearest(d, 2, "id", "x", "y", within="y", block_rows=20).collect()}
+    for i in range(len(x)):
+        own = [j for j in np.argsort(dist[i], kind="stable") if j % 3 == i % 3][:2]
+        assert got[f"{i:04d}"] == [f"{j:04d}" for j in own]
