@@ -25,8 +25,10 @@ BROADCAST_ROWS = 100_000
 
 def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A summary to join with: computed once, broadcast if it has at most ``limit`` rows, joined by shuffle if not."""
-    small = cut_lineage(df)
-    return F.broadcast(small) if small.count() <= limit else small
+    found = df.limit(limit + 1).collect()
+    if len(found) > limit:
+        return cut_lineage(df)
+    return F.broadcast(df.sparkSession.createDataFrame(found, df.schema))
 
 
 def time_block(t_us: Column, seconds: int) -> Column:

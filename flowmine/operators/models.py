@@ -13,6 +13,7 @@ import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
+from pyspark.errors import PySparkException
 from pyspark.ml.classification import (
     GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel,
     MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier, RandomForestClassificationModel,
@@ -241,7 +242,7 @@ def fit_graph(d: TrainingData, s: ModelSettings) -> Fitted:
 
 def train_all(flow: TrainingData, ordered: TrainingData, settings: ModelSettings = ModelSettings()
               ) -> tuple[dict[str, Fitted], list[str]]:
-    """Fit every enabled model; one that fails is left out.
+    """Fit every enabled model; one whose data or parameters Spark refuses is left out, none left is an error.
 
     ``flow`` may be resampled; sequence and graph models need ``ordered``, the
     original rows with their sessions.
@@ -252,9 +253,11 @@ def train_all(flow: TrainingData, ordered: TrainingData, settings: ModelSettings
         try:
             fitted[name] = MODELS[name](ordered if name in ("sequence", "graph") else flow, settings)
             fitted[name].train_s = time.perf_counter() - t0
-        except Exception as e:  # noqa: BLE001
+        except (ValueError, ArithmeticError, PySparkException) as e:
             log.warning("model %s failed: %s", name, e)
             failed.append(name)
+    if not fitted:
+        raise RuntimeError(f"no model could be fitted: {failed}")
     return fitted, failed
 
 

@@ -15,7 +15,8 @@ from flowmine.operators import metrics
 from flowmine.operators.rankers import RANKERS, balanced_weights, rank_pca, rank_pearson, with_vector
 from flowmine.operators.redundancy import RedundancyFilter
 from flowmine.operators.sampling import stratified_sample
-from flowmine.settings import SelectionSettings
+from flowmine.session import cut_lineage
+from flowmine.settings import Recipe, SelectionSettings
 
 
 def union_scores(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -179,44 +180,46 @@ def stability(train: DataFrame, features: Sequence[str], label: str, row_id: str
     return base.join(freq, "feature", "left").select("feature", F.coalesce("frequency", F.lit(0.0)).alias("frequency"))
 
 
-def ablation_subsets(scores: DataFrame, votes: DataFrame, chosen: Sequence[str], settings: SelectionSettings,
-                     train: DataFrame, label: str, row_id: str) -> dict[str, list[str]]:
-    """Feature lists of the comparison experiments, all as long as the chosen list."""
-    feats = [r["feature"] for r in scores.groupBy("feature").agg(F.min("pos").alias("p")).orderBy("p").collect()]
-    size, k = len(chosen), settings.top_k
-    have = [r for r in settings.rankers]
-
-    def best(name):
-        return [r["feature"] for r in top_k(scores.filter(F.col("ranker") == name), size).orderBy("rank").collect()]
-
-    def combo(names, eta, pooled):
-        names = [n for n in names if n in have]
-        t = fuse_rankings(scores.filter(F.col("ranker").isin(names)), names, k, eta)
-        if pooled:
-            return pool_of(t)[:size]
-        return [r["feature"] for r in t.orderBy("place").limit(size).collect()]
-
-    out = {"all features": feats}
-    if "mi" in have:
-        out["mi only"] = best("mi")
-    out["forest + boosting"] = combo(["rfi", "boost"], 1, False)
-    out["sd + dmm + mi"] = combo(["sd", "dmm", "mi"], 1, False)
-    if "pi_svm" in have:
-        out["permutation only"] = best("pi_svm")
-    out["vote only"] = [r["feature"] for r in votes.filter("in_pool = 1").orderBy(
-        F.col("votes").desc(), "place").limit(size).collect()]
-    out["vote + rank"] = list(chosen)
-    for drop in have:
-        out[f"without {drop}"] = combo([r for r in have if r != drop], max(1, settings.vote_threshold - 1), True)
-    out["six rankers"] = combo(settings.base_rankers, 4, True)
-
-    def leading(t):
-        return [r["feature"] for r in t.orderBy(F.col("score").desc(), "pos").limit(size).collect()]
-    out["pearson"] = leading(rank_pearson(train, feats, label))
-    if "mi" in RANKERS:
-        out["information"] = leading(RANKERS["mi"](train, feats, label, row_id, settings, 42))
-    out["pca"] = leading(rank_pca(train, feats, components=min(size, len(feats)) or 1))
-    return {n: f for n, f in out.items() if f}
+def recipes_of(settings: SelectionSettings) -> list[Recipe]:
+    """The recipes of the settings and, if asked for, those that leave a ranker out."""
+    out = list(settings.recipes)
+    if settings.leave_one_out and len(settings.rankers) > 1:
+        out += [Recipe(f"without {r}", tuple(x for x in settings.rankers if x != r), max(1, settings.vote_threshold - 1), "pool")
+                for r in settings.rankers]
+    return out
+
+
+def recipe_features(recipe: Recipe, scores: DataFrame, size: int, settings: SelectionSettings = SelectionSettings()) -> list[str]:
+    """The ``size`` features a recipe gives; rankers without scores are left out, none if no score is there."""
+    if recipe.read == "all":
+        return [r["feature"] for r in scores.groupBy("feature").agg(F.min("pos").alias("p")).orderBy("p").collect()]
+    scored = {r["ranker"] for r in scores.select("ranker").distinct().collect()}
+    names = [r for r in recipe.rankers or settings.rankers if r in scored]
+    if not names:
+        return []
+    votes = settings.vote_threshold if recipe.votes is None else recipe.votes
+    table = fuse_rankings(scores.filter(F.col("ranker").isin(names)), names,
+                          size if len(names) == 1 else settings.top_k, votes)
+    if recipe.read == "pool":
+        return pool_of(table)[:size]
+    order = ("place",) if recipe.read == "place" else (F.col("votes").desc(), "place")
+    rows = table.filter("votes > 0" if len(names) == 1 else "true") if recipe.read == "place" else table.filter("in_pool = 1")
+    return [r["feature"] for r in rows.orderBy(*order).limit(size).collect()]
+
+
+def comparison_scores(scores: DataFrame, train: DataFrame, features: Sequence[str], label: str, size: int) -> DataFrame:
+    """``scores`` with those of the comparison's own rankers, correlation and principal components."""
+    own = {"pearson": rank_pearson(train, features, label),
+           "pca": rank_pca(train, features, components=min(size, len(features)) or 1)}
+    for name, t in own.items():
+        scores = scores.unionByName(t.select(F.lit(name).alias("ranker"), "feature", "pos", "score"))
+    return cut_lineage(scores)
+
+
+def ablation_subsets(scores: DataFrame, size: int, settings: SelectionSettings = SelectionSettings()) -> dict[str, list[str]]:
+    """Feature lists of the comparison experiments by name, those that are not empty."""
+    found = {r.name: recipe_features(r, scores, size, settings) for r in recipes_of(settings)}
+    return {name: features for name, features in found.items() if features}
 
 
 def ablations(subsets: Mapping[str, Sequence[str]], train: DataFrame, parts: Mapping[str, DataFrame], label: str,

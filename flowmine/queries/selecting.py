@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from flowmine.operators import rankers, redundancy, selection
 from flowmine.operators.fitted import Preprocessor
 from flowmine.queries.common import query
-from flowmine.settings import SelectionSettings
+from flowmine.session import cut_lineage
+from flowmine.settings import Recipe, SelectionSettings
 from flowmine.sources.views import (EVENT_CLASSES, EVENT_FLOWS_SQL, LINE_CLASSES, LINE_FLOWS_SQL, event_flows,
                                     line_flows)
 
@@ -228,6 +229,44 @@ def _votes(spark, sf):
     return t.drop("pos").withColumn("score", F.round("score", 6))
 
 
+LISTS = SelectionSettings(
+    top_k=3, vote_threshold=2, rankers=("dmm", "sd", "pcc"), recipes=(
+        Recipe("every feature", read="all"), Recipe("one", ("dmm",), 1), Recipe("two", ("dmm", "sd"), 1),
+        Recipe("most votes", read="votes"), Recipe("votes, then rank", read="pool"), Recipe("absent", ("mi",), 1)))
+
+
+def _list_sql(recipe: Recipe, size: int = 2) -> str:
+    names = recipe.rankers or LISTS.rankers
+    k = size if len(names) == 1 else LISTS.top_k
+    votes = LISTS.vote_threshold if recipe.votes is None else recipe.votes
+    fused = f"""(SELECT p0.feature, any_value(p0.pos) AS pos, count(m.ranker) AS votes,
+      coalesce(sum(1.0 - (rank - 1) / {k - 1}.0), 0) / {len(names)} AS score
+      FROM p0 LEFT JOIN rk m ON m.feature = p0.feature AND m.rank <= {k} AND m.ranker IN {tuple(names) if len(names) > 1 else f"('{names[0]}')"}
+      GROUP BY p0.feature)"""
+    best = f"votes >= {votes} DESC, score DESC, votes DESC, pos"
+    if recipe.read == "all":
+        rows = "SELECT feature, row_number() OVER (ORDER BY pos) AS place FROM p0"
+    elif recipe.read == "pool":
+        rows = f"""SELECT feature, row_number() OVER (ORDER BY {best}) AS place FROM {fused}
+          WHERE votes >= {votes} OR (SELECT max(votes) FROM {fused}) < {votes}"""
+    elif recipe.read == "votes":
+        rows = f"SELECT feature, row_number() OVER (ORDER BY votes DESC, {best}) AS place FROM {fused} WHERE votes >= {votes}"
+    else:
+        some = "WHERE votes > 0" if len(names) == 1 else ""
+        rows = f"SELECT feature, row_number() OVER (ORDER BY {best}) AS place FROM {fused} {some}"
+    limit = "" if recipe.read == "all" else f"WHERE place <= {size}"
+    return f"SELECT '{recipe.name}' AS experiment, CAST(place AS INTEGER) AS place, feature FROM ({rows}) {limit}"
+
+
+@query("ablation_lists", f"""
+WITH {_VOTES}
+{' UNION ALL '.join(_list_sql(r) for r in selection.recipes_of(LISTS) if r.name != 'absent')}""")
+def _lists(spark, sf):
+    found = selection.ablation_subsets(cut_lineage(vote_scores(spark, sf)), 2, LISTS)
+    rows = [(name, i + 1, f) for name, features in found.items() for i, f in enumerate(features)]
+    return spark.createDataFrame(rows, "experiment string, place int, feature string")
+
+
 @query("sensitivity_pools", f"""
 WITH {_VOTES},
 g AS (SELECT CAST(k AS INTEGER) AS "K", CAST(e AS INTEGER) AS eta, CAST(n AS INTEGER) AS "N" FROM (SELECT unnest([1,2,3]) k) a, (SELECT unnest([1,2,3]) e) b, (SELECT unnest([1,2,4]) n) c),

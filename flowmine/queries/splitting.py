@@ -314,6 +314,22 @@ def _g5(spark, sf):
     return guards.not_resampled(d.filter("split = 'val'"), d.filter("split = 'test'"))
 
 
+_TORN = "b AS (SELECT session_id FROM d GROUP BY session_id HAVING count(DISTINCT split) > 1)"
+
+
+@query("guard_report_of_a_leak", _LEAKY_SQL + f""",
+a AS (SELECT row_id FROM d GROUP BY row_id HAVING count(DISTINCT split) > 1), {_TORN},
+g AS (
+  SELECT label, max(us) FILTER (split = 'train') AS a, min(us) FILTER (split = 'val') AS b,
+    max(us) FILTER (split = 'val') AS c, min(us) FILTER (split = 'test') AS e FROM d GROUP BY label)
+SELECT 'splits_disjoint' AS guard, count(*) AS n, min(CAST(row_id AS VARCHAR)) AS example FROM a HAVING count(*) > 0
+UNION ALL SELECT 'sessions_whole', count(*), min(session_id) FROM b HAVING count(*) > 0
+UNION ALL SELECT 'time_ordering', count(*), min(label) FROM g WHERE e < a OR b < a OR e < c HAVING count(*) > 0""")
+def _g10(spark, sf):
+    d = _leaky(spark, sf).withColumn("exempt", F.lit(False))
+    return guards.split_guards(d, "row_id", "session_id", "ts")
+
+
 @query("guard_report", f"""
 WITH {TIME_BLOCKS_SQL}, b AS (
   SELECT session_id FROM rows_split GROUP BY session_id HAVING count(DISTINCT split) > 1)

@@ -18,10 +18,6 @@ CLASS_ORDER = [
 ]
 BENIGN = "Benign"
 RARE_CLASSES = ["Infiltration", "Heartbleed", "Web Attack", "Botnet"]
-GRAPH_STATES = [
-    "Benign", "PortScan", "Brute Force", "Web Attack", "DoS", "DDoS",
-    "Botnet", "Infiltration", "Heartbleed",
-]
 LABEL_GROUPS = {
     "benign": "Benign",
     "portscan": "PortScan",
@@ -80,6 +76,35 @@ class SplitSettings:
     seed: int = 42
 
 
+@dataclass(frozen=True)
+class Recipe:
+    """A feature list to compare with the chosen one, read off a fusion of rankers.
+
+    Without ``rankers`` all of the run are fused, without ``votes`` the run's
+    threshold holds. ``read``: the first by "place", those of the "pool", by "votes", or "all".
+    """
+
+    name: str
+    rankers: tuple = ()
+    votes: int | None = None
+    read: str = "place"
+
+
+# Which rankers the comparison lists fuse, with how many votes.
+RECIPES = (
+    Recipe("every feature", read="all"),
+    Recipe("information", ("mi",), 1),
+    Recipe("tree ensembles", ("rfi", "boost"), 1),
+    Recipe("spread and information", ("sd", "dmm", "mi"), 1),
+    Recipe("permutation", ("pi_svm",), 1),
+    Recipe("most votes", read="votes"),
+    Recipe("votes, then rank", read="pool"),
+    Recipe("base rankers", ("mi", "rfi", "pi_svm", "shap", "dmm", "sd"), 4, "pool"),
+    Recipe("correlation", ("pearson",), 1),
+    Recipe("components", ("pca",), 1),
+)
+
+
 @dataclass(frozen=True)
 class SelectionSettings:
     variance_epsilon: float = 1.0e-5
@@ -109,6 +134,9 @@ class SelectionSettings:
     probe_trees: int = 150
     stability_runs: int = 2
     stability_frac: float = 0.6
+    recipes: tuple = RECIPES
+    # Also compare with each ranker of the run left out, one vote less needed.
+    leave_one_out: bool = True
 
 
 @dataclass(frozen=True)
@@ -176,7 +204,6 @@ class FusionSettings:
 @dataclass(frozen=True)
 class EvaluationSettings:
     ece_bins: int = 15
-    bootstrap_iters: int = 1000
     alpha: float = 0.05
     rare_classes: tuple = tuple(RARE_CLASSES)
 
