@@ -274,13 +274,13 @@ def cost_table(fitted: dict[str, Fitted], df: DataFrame, n_rows: int | None = No
     rows = []
     for name, m in fitted.items():
         t0 = time.perf_counter()
-        m.predict(df, "__p").select(F.sum(F.get("__p", F.lit(0)))).collect()
+        m.predict(df, "__out").select(F.sum(F.get("__out", F.lit(0)))).collect()
         rows.append((name, m.train_s, 1000.0 * (time.perf_counter() - t0) / max(n, 1), m.parameters()))
     return df.sparkSession.createDataFrame(rows, "model string, train_s double, inference_ms_per_flow double, parameters long")
 
 
 def macro_f1(m: Fitted, df: DataFrame, y: str) -> float:
-    p = m.predict(df, "__p").select(F.col(y).alias("y"), argmax(F.col("__p")).alias("pred"))
+    p = m.predict(df, "__out").select(F.col(y).alias("y"), argmax(F.col("__out")).alias("pred"))
     return metrics.summary_scores(metrics.confusion(p, "y", "pred")).first()["macro_f1"]
 
 
