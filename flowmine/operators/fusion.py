@@ -15,13 +15,12 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowmine.functions.arrays import argmax, confidence, log_gaps, scaled, soften
 from flowmine.functions.columns import literal_map, plus
-from flowmine.operators import metrics
+from flowmine.operators import isotonic, metrics
 from flowmine.operators.temporal import TransitionGraph
 from flowmine.session import cut_lineage
 from flowmine.settings import FusionSettings
@@ -94,25 +93,22 @@ def fit_calibrator(df: DataFrame, probs: str, truth: str, n_classes: int, method
         return cal
     counts = stage(metrics.score_counts(df, probs, truth))
     both = {r["cls"] for r in metrics.class_totals(counts).collect() if r["n_pos"] > 0 and r["n_neg"] > 0}
+    if method == "isotonic":
+        blocks = stage(isotonic.rising_blocks(counts.filter(F.col("cls").isin(sorted(both))), ["cls"], stage=stage))
+        cal.isotonic = isotonic.fit_models(blocks, "cls", sorted(both))
+        return cal
+    if method != "platt":
+        raise ValueError(f"unknown calibration {method!r}")
     # One weighted row per distinct score and outcome.
     long = counts.select("cls", "score", F.explode(F.array(
         F.struct(F.lit(1.0).alias("label"), F.col("pos").cast("double").alias("w")),
         F.struct(F.lit(0.0).alias("label"), F.col("neg").cast("double").alias("w")))).alias("e"))
     long = long.select("cls", "score", "e.label", "e.w").filter("w > 0")
     for c in sorted(both):
-        one = long.filter(F.col("cls") == c)
-        if method == "isotonic":
-            # Equal scores are pooled before fitting.
-            pooled = one.groupBy("score").agg(
-                (F.sum(F.col("label") * F.col("w")) / F.sum("w")).alias("label"), F.sum("w").alias("w"))
-            cal.isotonic[c] = IsotonicRegression(featuresCol="score", labelCol="label", weightCol="w").fit(pooled)
-        elif method == "platt":
-            vec = one.withColumn("features", array_to_vector(F.array("score")))
-            lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w", regParam=1e-8,
-                                    maxIter=200).fit(vec)
-            cal.platt[c] = (float(lr.coefficients[0]), float(lr.intercept))
-        else:
-            raise ValueError(f"unknown calibration {method!r}")
+        vec = long.filter(F.col("cls") == c).withColumn("features", array_to_vector(F.array("score")))
+        lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w", regParam=1e-8,
+                                maxIter=200).fit(vec)
+        cal.platt[c] = (float(lr.coefficients[0]), float(lr.intercept))
     return cal
 
 

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from flowmine.functions import arrays
-from flowmine.operators import fusion, guards, metrics, reports, temporal, windows
+from flowmine.operators import fusion, guards, isotonic, metrics, reports, temporal, windows
 from flowmine.queries.common import query
 from flowmine.session import cut_lineage
 from flowmine.sources.views import EVENT_CLASSES, event_flows
@@ -491,6 +491,52 @@ def _cal(spark, sf):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+# A point of the running counts is a corner of the rising fit if every slope to its
+# left is below every slope to its right; blocks lie between corners.
+ISOTONIC_SQL = f"""
+WITH {SCORES_SQL},
+pts AS (SELECT c AS cls, p_alpha[c + 1] AS score, sum(CAST(y = c AS BIGINT)) AS pos, count(*) AS n
+  FROM (SELECT * FROM sc WHERE {CUT_SQL}), (SELECT CAST(range AS INTEGER) AS c FROM range(5)) GROUP BY ALL),
+run AS (SELECT *, row_number() OVER k AS i, CAST(sum(pos) OVER k AS BIGINT) AS cp, CAST(sum(n) OVER k AS BIGINT) AS cn
+  FROM pts WINDOW k AS (PARTITION BY cls ORDER BY score)),
+cum AS (SELECT cls, i, cp, cn FROM run UNION ALL SELECT DISTINCT cls, 0, 0, 0 FROM run),
+slope AS (SELECT a.cls, a.i,
+    max((a.cp - b.cp) / CAST(a.cn - b.cn AS DOUBLE)) FILTER (b.i < a.i) AS before,
+    min((b.cp - a.cp) / CAST(b.cn - a.cn AS DOUBLE)) FILTER (b.i > a.i) AS after
+  FROM cum a JOIN cum b ON a.cls = b.cls AND a.i <> b.i GROUP BY a.cls, a.i),
+corner AS (SELECT cls, i, lead(i) OVER (PARTITION BY cls ORDER BY i) AS upto FROM slope
+  WHERE before IS NULL OR after IS NULL OR before < after),
+blk AS (SELECT cls, min(score) AS low, max(score) AS high, CAST(sum(pos) AS BIGINT) AS pos, CAST(sum(n) AS BIGINT) AS n
+  FROM run JOIN corner USING (cls) WHERE run.i > corner.i AND run.i <= corner.upto GROUP BY cls, corner.i)
+"""
+
+
+@query("isotonic_blocks", ISOTONIC_SQL + "SELECT cls, round(low, 9) AS low, round(high, 9) AS high, pos, n FROM blk")
+def _blocks(spark, sf):
+    """Slices of a few hundred scores, so that slices are merged as in a large table."""
+    counts = cut_lineage(metrics.score_counts(scores(spark, sf).filter(CUT), "p_alpha", "y"))
+    return isotonic.rising_blocks(counts, ["cls"], rows=200).select(
+        "cls", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), "pos", "n")
+
+
+@query("isotonic_calibration", ISOTONIC_SQL + f""",
+ends AS (SELECT *, pos / CAST(n AS DOUBLE) AS v, lead(low) OVER k AS low2, lead(pos / CAST(n AS DOUBLE)) OVER k AS v2 FROM blk
+  WINDOW k AS (PARTITION BY cls ORDER BY low)),
+raw AS (SELECT row_id, c AS cls, p_alpha[c + 1] AS score
+  FROM (SELECT * FROM sc WHERE NOT ({CUT_SQL})), (SELECT CAST(range AS INTEGER) AS c FROM range(5))),
+hit AS (SELECT row_id, cls, CASE WHEN v IS NULL THEN (SELECT min(e.v) FROM ends e WHERE e.cls = r.cls)
+    WHEN score <= high OR v2 IS NULL THEN v
+    ELSE v + (v2 - v) * (score - high) / (low2 - high) END AS v
+  FROM (SELECT r.*, e.v, e.high, e.low2, e.v2 FROM raw r ASOF LEFT JOIN ends e ON r.cls = e.cls AND r.score >= e.low) r)
+SELECT row_id, {', '.join(f"""round(CASE WHEN sum(v) > 0 THEN sum(v) FILTER (cls = {i}) / sum(v) ELSE 0.2 END, 6) AS c{i}""" for i in range(5))}
+FROM hit GROUP BY row_id""")
+def _iso(spark, sf):
+    s = scores(spark, sf)
+    cal = fusion.fit_calibrator(s.filter(CUT), "p_alpha", "y", N, "isotonic")
+    out = cal.apply(s.filter(f"NOT ({CUT})"), "p_alpha", "after")
+    return out.select("row_id", *[F.round(F.get("after", F.lit(i)), 6).alias(f"c{i}") for i in range(N)])
+
+
 @query("guard_probabilities", f"""
 WITH {SCORES_SQL}, x AS (SELECT row_id, CASE WHEN row_id % 50 = 0 THEN [v * 1.01 FOR v IN p_alpha]
   WHEN row_id % 51 = 0 THEN [v - 0.2 FOR v IN p_alpha] ELSE p_alpha END AS p FROM sc)
