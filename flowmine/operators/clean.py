@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from flowmine.functions.columns import INF, any_of, lookup, normalise_text, quote
 from flowmine.operators.blocks import add_running, bounded
+from flowmine.operators.slices import SLICE_ROWS, sliced
 from flowmine.session import cut_lineage
 from flowmine.settings import (
     AFTERNOON_TOKENS, CLASS_ORDER, DST_PORT_COLUMNS, IDENTIFIER_COLUMNS, LABEL_GROUPS, UNLABELLED,
@@ -234,3 +235,19 @@ def drop_copies(df: DataFrame, content: Sequence[str], order: Sequence[str]) ->
 def order_key(ts: str, source: str, row: str) -> list[Column]:
     """Deterministic global order: time (missing last), file, row in file."""
     return [F.col(ts).asc_nulls_last(), F.col(source).asc(), F.col(row).asc()]
+
+
+def number_in_order(df: DataFrame, ts: str, source: str, row: str, name: str = "row_no",
+                    rows: int = SLICE_ROWS) -> DataFrame:
+    """``name`` counts the rows from 1 in the global order of ``order_key``.
+
+    Beyond ``rows`` rows the order is cut into slices at sampled splitters; a row's
+    number is its place in its slice plus the rows of the slices before. Rows equal
+    in all three columns are numbered in any order.
+    """
+    work = df.withColumns({"__all": F.lit(0), "__late": quote(ts).isNull(), "__ts": quote(ts),
+                           "__source": quote(source), "__row": quote(row)})
+    order = ["__late", "__ts", "__source", "__row"]
+    marked, block = sliced(work, ["__all"], order, rows)
+    out = add_running(marked, ["__all"], order, block, {"__no": F.lit(1).cast("long")})
+    return out.select(*[quote(c) for c in df.columns], F.col("__no").cast("long").alias(name))

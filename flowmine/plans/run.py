@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import time
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from flowmine.operators import (
 from flowmine.operators.fitted import FlowStates, Preprocessor
 from flowmine.operators.sessions import communication_key, sessionize
 from flowmine.session import cut_lineage
-from flowmine.settings import SENTINEL_COLUMNS, SURROGATE_START, Settings
+from flowmine.settings import LABEL_GROUPS, SENTINEL_COLUMNS, SURROGATE_START, Settings
 from flowmine.sources import files
 
 
@@ -45,8 +45,53 @@ class Result:
     timings: dict[str, float] = field(default_factory=dict)
 
 
-def prepare(spark: SparkSession, folder: str, settings: Settings = Settings(),
-            columns: dict[str, str] | None = None) -> tuple[DataFrame, list[str], Roles]:
+@dataclass
+class Prepared:
+    """Cleaned rows with sessions, their feature columns and what the cleaning did."""
+
+    rows: DataFrame
+    features: list[str]
+    reports: dict[str, DataFrame]
+
+
+#: Tables that ``prepare`` writes beside the rows.
+REPORTS = ("repair", "labels", "classes", "cleaning")
+
+
+def prepare(spark: SparkSession, folder: str, settings: Settings = Settings(), columns: dict[str, str] | None = None,
+            base: str | None = None) -> tuple[DataFrame, list[str], Roles]:
+    """Rows, features and roles of ``clean_folder``.
+
+    With ``base`` the rows and reports are staged there under a key of the files
+    and of the settings that cleaning reads, so runs that differ in split, balance
+    or models share them; ``prepared_reports`` reads the reports back.
+    """
+    if base is None:
+        made = clean_folder(spark, folder, settings, columns)
+        return made.rows, made.features, Roles()
+    key = prepared_key(spark, folder, settings, columns)
+    build = functools.cache(lambda: clean_folder(spark, folder, settings, columns))
+    rows = files.parquet_stage(spark, base, "rows", key, lambda: build().rows, lambda: {"features": build().features})
+    for name in REPORTS:
+        files.parquet_stage(spark, base, name, key, lambda name=name: build().reports[name])
+    return rows, files.stage_meta(spark, base, "rows", key)["features"], Roles()
+
+
+def prepared_key(spark: SparkSession, folder: str, settings: Settings, columns: dict[str, str] | None = None) -> str:
+    return files.signature(files=files.folder_state(spark, folder), least=settings.expect_min_rows, port=settings.use_dst_port,
+                           classes=settings.classes, session=asdict(settings.session),
+                           length=settings.temporal.max_sequence_length, columns=columns)
+
+
+def prepared_reports(spark: SparkSession, folder: str, settings: Settings, base: str,
+                     columns: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """Reports staged by ``prepare``: numeric repair, label counts, classes, cleaning."""
+    key = prepared_key(spark, folder, settings, columns)
+    return {n: spark.read.parquet(f"{base.rstrip('/')}/{n}-{key}/data") for n in REPORTS}
+
+
+def clean_folder(spark: SparkSession, folder: str, settings: Settings = Settings(),
+                 columns: dict[str, str] | None = None) -> Prepared:
     """Read a folder of flow CSVs: types, clocks, labels, sessions, cleaning.
 
     ``columns`` names src, dst, src_port, dst_port, protocol, ts and label
@@ -65,7 +110,7 @@ def prepare(spark: SparkSession, folder: str, settings: Settings = Settings(),
     numeric = [x for x in have if x not in text]
     # Unlabelled rows go first: they are mostly stray header lines.
     rows = clean.group_labels(raw, c["label"], classes=settings.classes)
-    rows, _ = clean.repair_numeric(rows, numeric, "source_path")
+    rows, repair = clean.repair_numeric(rows, numeric, "source_path")
     if c["ts"]:
         rows = clean.fix_timestamps(rows, c["ts"], "source_path", file_name="source_file")
     else:
@@ -86,13 +131,16 @@ def prepare(spark: SparkSession, folder: str, settings: Settings = Settings(),
         rows = rows.withColumn("src_ip", F.col("source_path"))
     # Copies are judged with the session in place, as their times and text are.
     order = ["ts", "source_path", "row_in_source", "source_file", "row_id"]
-    rows = clean.drop_copies(rows, [x for x in rows.columns if x not in order], order)
-    features = clean.feature_columns(
-        [x for x in have], [*named, "source_file", "source_path", "row_in_source"])
+    content = [x for x in rows.columns if x not in order]
+    features = clean.feature_columns(have, [*named, "source_file", "source_path", "row_in_source"], settings.use_dst_port)
     types = dict(rows.dtypes)
     features = [f for f in features if types[f] == "double"]
+    told = {"repair": repair, "labels": clean.unlabelled_counts(raw, c["label"], LABEL_GROUPS),
+            "classes": reports.class_distribution(rows, "label_raw", "label_group"),
+            "cleaning": reports.cleaning_report(rows, features, SENTINEL_COLUMNS, "session_id", "ts", "label_group", content)}
+    rows = clean.drop_copies(rows, content, order)
     rows = clean.blank_negative(clean.blank_infinite(rows, features), features, SENTINEL_COLUMNS)
-    return clean.to_float(rows, [f for f in features if f != c["protocol"]]), features, Roles()
+    return Prepared(clean.to_float(rows, [f for f in features if f != c["protocol"]]), features, told)
 
 
 def run(df: DataFrame, features: Sequence[str], roles: Roles = Roles(), settings: Settings = Settings(),

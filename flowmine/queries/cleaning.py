@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowmine.functions.columns import normalise_text
+from flowmine.functions.columns import normalise_text, quote
 from flowmine.operators import clean, fitted, reports
 from flowmine.settings import SURROGATE_START
 from flowmine.queries.common import TIME_BLOCKS_SQL, event_split, query
@@ -254,6 +254,18 @@ def _order(spark, sf):
     return out.select("row", "source", "pos")
 
 
+@query("global_row_number", f"""
+WITH {ORDER_FILES_SQL}, d AS (SELECT row_, source, CASE WHEN row_ % 11 > 0 THEN o_orderdate END AS ts
+  FROM f JOIN orders ON row_ = o_orderkey)
+SELECT row_ AS row, source, row_number() OVER (ORDER BY ts NULLS LAST, source, row_) AS row_no FROM d""")
+def _row_no(spark, sf):
+    """Many rows a day tie, some have no time; slices of 1,000 rows, so that most numbers cross slices."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("row"), F.when(
+        F.col("o_orderkey") % 11 > 0, F.col("o_orderdate").cast("timestamp")).alias("ts"))
+    d = order_files(spark, sf).select("row", "source").join(o, "row")
+    return clean.number_in_order(d, "ts", "source", "row", rows=1000).select("row", "source", "row_no")
+
+
 DIRTY = ["rate", "shift", "window", "k"]
 
 
@@ -367,6 +379,19 @@ def _onehot(spark, sf):
     return p.transform(d, ["row_id"])
 
 
+@query("one_hot_wide", """
+WITH v AS (SELECT o_custkey AS value, row_number() OVER (ORDER BY o_custkey) - 1 AS pos
+  FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 3 > 0))
+SELECT o_orderkey AS row, (SELECT count(*) FROM v) AS width, pos FROM orders LEFT JOIN v ON o_custkey = value""")
+def _onehot_wide(spark, sf):
+    """Customers of two thirds of the orders; those seen in the last third only have no position."""
+    o = table(spark, sf, "orders")
+    p = fitted.Preprocessor([], ["o_custkey"], wide=50).fit(o.filter("o_orderkey % 3 > 0"))
+    v = F.unwrap_udt(quote("o_custkey=*"))
+    return p.transform(o, ["o_orderkey"]).select(
+        F.col("o_orderkey").alias("row"), v["size"].cast("long").alias("width"), F.get(v["indices"], F.lit(0)).cast("long").alias("pos"))
+
+
 @query("flow_states", f"""
 WITH {TIME_BLOCKS_SQL},
 q AS (SELECT quantile_cont(value, [1/3, 2/3]) AS a, quantile_cont(k, [1/3, 2/3]) AS b, quantile_cont(hour, [1/3, 2/3]) AS c

@@ -214,6 +214,7 @@ class Settings:
     benign: str = BENIGN
     classes: tuple = tuple(CLASS_ORDER)
     expect_min_rows: int = 2_000_000
+    use_dst_port: bool = False
     session: SessionSettings = field(default_factory=SessionSettings)
     split: SplitSettings = field(default_factory=SplitSettings)
     selection: SelectionSettings = field(default_factory=SelectionSettings)

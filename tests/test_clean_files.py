@@ -133,3 +133,112 @@ def test_sinks(spark, tmp_path):
     for _ in range(2):
         assert files.parquet_stage(spark, str(tmp_path), "stage", key, build, {"n": 2}).count() == 2
     assert len(calls) == 1
+    assert files.stage_meta(spark, str(tmp_path), "stage", key) == {"n": 2}
+    # A writer that fails leaves no stage; nor does one that comes second change it.
+    with pytest.raises(ZeroDivisionError):
+        files.parquet_stage(spark, str(tmp_path), "other", key, lambda: d, lambda: {"n": 1 // 0})
+    assert files.parquet_stage(spark, str(tmp_path), "other", key, lambda: d.limit(1), {}).count() == 1
+
+    def late():
+        files.parquet_stage(spark, str(tmp_path), "raced", key, lambda: d.limit(1), {})
+        return d
+    assert files.parquet_stage(spark, str(tmp_path), "raced", key, late, {}).count() == 1
+    many = spark.range(500).select((F.lit(500) - F.col("id")).alias("row_no"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    files.write_table(many.repartition(7), str(tmp_path / "o"), ["row_no"])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    parts = sorted(p for p in os.listdir(tmp_path / "o") if p.startswith("part-"))
+    text = [x for p in parts for x in (tmp_path / "o" / p).read_text().split("\n")[1:] if x]
+    assert [int(x) for x in text] == list(range(1, 501)) and len(parts) > 1
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_are_numbered_without_a_shuffle(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    for name, n in (("a.csv", 3000), ("x/a.csv", 1700), ("b.csv", 1)):
+        (tmp_path / name).write_text("\n".join(["k,v" if name != "b.csv" else "v,k", *[f"{i},{'z' * (i % 40)}" for i in range(n)]]) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")     # many blocks a file, and files that share a task
+    try:
+        staged = []
+
+        def stage(df):
+            from flowmine.session import cut_lineage
+            staged.append(plan_of(df))
+            return cut_lineage(df)
+        raw = files.read_csv_folder(spark, str(tmp_path), stage=stage)
+        assert len(staged) == 1 and "Exchange" not in staged[0]
+        text = plan_of(raw)
+        assert "BroadcastExchange" in text and "hashpartitioning" not in text and "SortMergeJoin" not in text
+        got = raw.select(F.element_at(F.split("source_path", str(tmp_path)), -1).alias("f"), "row_in_source", "k", "v").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(got) == 4701
+    assert all(int(r["k"] if r["f"] != "/b.csv" else r["v"]) == r["row_in_source"] for r in got)
+
+
+def test_branches_share_one_prepared_table(spark, tmp_path, monkeypatch):
+    from flowmine.plans import run
+    source, base = tmp_path / "in", tmp_path / "stages"
+    source.mkdir()
+    write_files(source)
+    reads = []
+    plain = files.read_csv_folder
+    monkeypatch.setattr(files, "read_csv_folder", lambda *a, **k: reads.append(1) or plain(*a, **k))
+    one = Settings(expect_min_rows=5)
+    branches = [one, one.with_(imbalance=dict(mode="smote_enn")), one.with_(split=dict(strategy="stratified_flow"), seed=7)]
+    tables = [prepare(spark, str(source), s, base=str(base)) for s in branches]
+    assert len(reads) == 1 and len({tuple(t[1]) for t in tables}) == 1
+    bare, features, _ = prepare(spark, str(source), one)
+    assert features == tables[2][1] and rows(bare.select("row_id", "session_id"), "row_id") == \
+        rows(tables[2][0].select("row_id", "session_id"), "row_id")
+    told = run.prepared_reports(spark, str(source), one, str(base))
+    assert told["labels"].first().asDict() == {"n_rows": 22, "unlabelled": 1, "unmapped": 0}
+    assert sum(r["records"] for r in told["classes"].collect()) == 21
+    cleaning = told["cleaning"].first()
+    assert (cleaning["rows_in"], cleaning["rows_out"], cleaning["duplicates"], cleaning["inf_cells"]) == (21, 20, 1, 1)
+    assert told["repair"].filter("column = 'Flow Bytes/s' AND numeric").count() == 2
+    # What cleaning reads changes the key: settings of sessions, and the files.
+    assert len(reads) == 2
+    prepare(spark, str(source), one.with_(session=dict(timeout_s=1.0)), base=str(base))
+    assert len(reads) == 3
+    with open(source / "Monday-WorkingHours.csv", "a") as f:
+        f.write("F99,10.0.0.1,40099,10.0.0.9,80,6,03/07/2017 09:30:00,1,2,2,1.5,BENIGN\n")
+    assert prepare(spark, str(source), one, base=str(base))[0].count() == 21 and len(reads) == 4
+
+
+def test_target_port_is_a_feature_on_request(spark, tmp_path):
+    write_files(tmp_path)
+    _, features, _ = prepare(spark, str(tmp_path), Settings(expect_min_rows=5, use_dst_port=True))
+    assert "Destination Port" in features
+
+
+def test_global_order_over_slices(spark):
+    d = spark.range(4000).select(
+        F.when(F.col("id") % 13 > 0, F.timestamp_seconds(F.floor(F.col("id") / 700))).alias("ts"),
+        F.concat(F.lit("f"), (F.col("id") % 3).cast("string")).alias("source"), (F.col("id") * 7919 % 4001).alias("row"))
+    want = {tuple(r): i + 1 for i, r in enumerate(d.orderBy(*clean.order_key("ts", "source", "row")).collect())}
+    for size in (100, 10 ** 6):
+        got = clean.number_in_order(d, "ts", "source", "row", rows=size).collect()
+        assert {tuple(r)[:3]: r["row_no"] for r in got} == want
+    assert clean.number_in_order(d.limit(0), "ts", "source", "row").count() == 0
+
+
+def test_wide_categories(spark):
+    n = 100_000
+    d = spark.range(n).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("c"), (F.col("id") % 2).cast("double").alias("a"))
+    p = fitted.Preprocessor(["a"], ["c"]).fit(d)
+    assert p.output_columns == ["a"] and p.vector_columns == ["c=*"] and p.positions_["c"][1] == n
+    probe = spark.createDataFrame([("c0", 1.0), ("c99999", 0.0), ("none", 0.0), (None, 1.0)], "c string, a double")
+    out = {r["c"]: r["c=*"] for r in p.transform(probe, ["c"]).collect()}
+    assert all(v.size == n for v in out.values())
+    assert out["c0"].indices.tolist() == [0] and out["c99999"].indices.tolist() == [n - 1] and out["c0"].values.tolist() == [1.0]
+    assert out["none"].indices.tolist() == out[None].indices.tolist() == []
+    seen = p.transform(d).select(F.get(F.unwrap_udt(F.col("`c=*`"))["indices"], F.lit(0)).alias("i")).agg(
+        F.count_distinct("i"), F.max("i")).first()
+    assert tuple(seen) == (n, n - 1)
+    at_limit = fitted.Preprocessor([], ["c"], wide=3).fit(spark.createDataFrame([("b",), ("a",), ("c",)], "c string"))
+    assert at_limit.output_columns == ["c=a", "c=b", "c=c"] and at_limit.vector_columns == []
