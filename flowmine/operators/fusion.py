@@ -22,6 +22,7 @@ from flowmine.functions.arrays import argmax, confidence, log_gaps, scaled, soft
 from flowmine.functions.columns import literal_map, plus
 from flowmine.operators import isotonic, metrics
 from flowmine.operators.temporal import TransitionGraph
+from flowmine.operators.windows import previous_state
 from flowmine.session import cut_lineage
 from flowmine.settings import FusionSettings
 
@@ -138,9 +139,32 @@ def add_context(df: DataFrame, graph: TransitionGraph | None, classes: Sequence[
     return df.join(table, "prev_state", "left").withColumn("context", F.coalesce("context", flat))
 
 
+def add_label_context(df: DataFrame, graph: TransitionGraph, classes: Sequence[str], models: Sequence[str],
+                      session: str, ts: str, tie: Sequence[str]) -> DataFrame:
+    """``k_<model>``: probability of the model's class after its own class on the session's previous row.
+
+    ``graph`` counts transitions between labels of training rows. True labels of
+    earlier rows are unknown when rows are scored, so each model follows its own
+    path. A first row, and a row after one without probabilities, get 1/C. The
+    square of the classes is the only table, a literal.
+    """
+    wanted = [str(c) for c in classes]
+    flat = 1.0 / max(len(wanted), 2)
+    after = {r["prev_state"]: r["context"] for r in graph.outgoing(wanted).filter(F.col("prev_state").isin(wanted)).collect()}
+    square = F.array(*[F.array(*[F.lit(float(x)) for x in after.get(c) or [flat] * len(wanted)]) for c in wanted])
+    own = [argmax(F.col(f"p_{m}")).cast("int") for m in models]
+    work = previous_state(df, session, ts, tie, F.array(*own), "__path")
+    return work.withColumns({f"k_{m}": F.coalesce(F.get(F.get(square, F.get("__path", F.lit(j))), own[j]), F.lit(flat))
+                             for j, m in enumerate(models)}).drop("__path")
+
+
 @dataclass
 class Fusion:
-    """Reliabilities Q, lambda weights and alert threshold, fitted on validation."""
+    """Reliabilities Q, lambda weights and alert threshold, fitted on validation.
+
+    The context term reads ``context`` (see ``add_context``) or, with ``by_model``,
+    the columns of ``add_label_context``.
+    """
 
     models: list[str]
     classes: list[str]
@@ -150,6 +174,10 @@ class Fusion:
     quality: dict[str, float] = field(default_factory=dict)
     threshold: float = 0.5
     equal: bool = False
+    by_model: bool = False
+
+    def _context(self, model: str) -> Column:
+        return F.col(f"k_{model}") if self.by_model else F.get("context", argmax(F.col(f"p_{model}")))
 
     @property
     def sources(self) -> list[str]:
@@ -163,7 +191,7 @@ class Fusion:
         out = []
         for m in self.models:
             p = F.col(f"p_{m}")
-            k = F.when(l3 > 0, F.get("context", argmax(p))).otherwise(flat)
+            k = F.when(l3 > 0, self._context(m)).otherwise(flat)
             q = l1 * F.lit(float(self.quality.get(m, 0.0))) + l2 * confidence(p, n) + l3 * k
             out.append(F.greatest(q, F.lit(0.0)))
         if self.temporal:
@@ -237,7 +265,7 @@ class Fusion:
         base = val.select(
             F.col(truth).alias("y"), *[f"p_{m}" for m in self.models],
             *[confidence(F.col(f"p_{m}"), n).alias(f"__c{j}") for j, m in enumerate(self.models)],
-            *[F.get("context", argmax(F.col(f"p_{m}"))).alias(f"__k{j}") for j, m in enumerate(self.models)],
+            *[self._context(m).alias(f"__k{j}") for j, m in enumerate(self.models)],
             *([F.col("availability")] if self.temporal else []), F.explode(grid).alias("g"))
         flat = F.lit(1.0 / max(n, 2))
         q = [F.greatest(F.col("g.l1") * F.lit(self.quality.get(m, 0.0)) + F.col("g.l2") * F.col(f"__c{j}")

@@ -8,7 +8,7 @@ so many variants are scored in one job.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from flowmine.functions.arrays import argmax
 from flowmine.functions.columns import bins_below
 from flowmine.operators.blocks import add_running
+from flowmine.session import cut_lineage
 
 
 def confusion(df: DataFrame, truth: str, pred: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -288,20 +289,43 @@ def zero_day(df: DataFrame, truth: str, pred: str, held_out: int, benign: int,
         F.coalesce(F.avg(F.when(calm, alarm)), F.lit(0.0)).alias("false_alarm_rate"))
 
 
-def evaluate(df: DataFrame, models: Sequence[str], truth: str, classes: Sequence[str],
-             rare: Sequence[str] = (), n_bins: int = 15) -> dict[str, DataFrame]:
-    """All metric tables for probability columns ``p_<model>``."""
+def outcome_counts(df: DataFrame, probs: str, truth: str, n_bins: int = 15, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows and sums per (keys, y, pred, bin of the top score): what confusion, calibration and Brier score need.
+
+    At most classes squared times bins rows per key, combined before the shuffle.
+    A top score of zero or less has no bin.
+    """
+    p = F.col(probs)
+    edges = [float(e) for e in np.linspace(0.0, 1.0, n_bins + 1)[1:-1]]
+    off = F.aggregate(p, F.lit(1.0), lambda a, x: a + x * x) - 2.0 * F.get(p, F.col(truth).cast("int"))
+    rows = df.select(*keys, F.col(truth).alias("y"), argmax(p).alias("pred"), F.array_max(p).alias("__c"), off.alias("__off"))
+    bin_ = F.when(F.col("__c") > 0, bins_below(F.col("__c"), edges))
+    return rows.groupBy(*keys, "y", "pred", bin_.alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("__c").alias("confidence"), F.sum("__off").alias("distance"),
+        F.count("__off").alias("n_distance"))
+
+
+def evaluate(df: DataFrame, models: Sequence[str], truth: str, classes: Sequence[str], rare: Sequence[str] = (),
+             n_bins: int = 15, stage: Callable[[DataFrame], DataFrame] = cut_lineage) -> dict[str, DataFrame]:
+    """All metric tables for probability columns ``p_<model>``.
+
+    The rows are read twice: for counts of outcomes and for counts per distinct
+    score. Both are staged, and every table follows from them.
+    """
     long = df.select(F.col(truth).alias("y"), F.explode(F.array(*[
         F.struct(F.lit(m).alias("model"), F.col(f"p_{m}").alias("probs")) for m in models])).alias("x"))
-    long = long.select("y", "x.model", "x.probs").withColumn("pred", argmax(F.col("probs")))
+    long = long.select("y", "x.model", "x.probs")
     k = ["model"]
-    conf = confusion(long, "y", "pred", k)
+    outcomes, counts = stage(outcome_counts(long, "probs", "y", n_bins, k)), stage(score_counts(long, "probs", "y", k))
+    conf = outcomes.groupBy(*k, "y", "pred").agg(F.sum("n").alias("n"))
+    judged = F.when(F.col("y").isNotNull(), F.col("n"))
+    bins = outcomes.filter(F.col("bin").isNotNull()).groupBy(*k, "bin").agg(
+        F.sum("n").alias("n"), (F.sum("confidence") / F.sum("n")).alias("confidence"),
+        (F.sum(F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0)) / F.sum(judged)).alias("accuracy"))
+    distance = outcomes.groupBy(*k).agg((F.sum("distance") / F.sum("n_distance")).alias("brier"))
     report = class_report(conf, classes, rare, k)
-    counts = score_counts(long, "probs", "y", k)
-    bins = confidence_bins(long, "probs", "y", n_bins, k)
     flat = summary_scores(conf, k)
-    for part in (calibration_error(bins, k), brier(long, "probs", "y", k),
-                 macro_areas(ranking_areas(counts, k), k), rare_recall(report, k)):
+    for part in (calibration_error(bins, k), distance, macro_areas(ranking_areas(counts, k), k), rare_recall(report, k)):
         flat = flat.join(part, k, "left")
     return {"metrics": flat, "per_class": report, "confusion": conf, "reliability": bins,
             "curves": roc_points(counts, k)}

@@ -172,6 +172,8 @@ def run(df: DataFrame, features: Sequence[str], roles: Roles = Roles(), settings
     keep = [r.row_id, r.ts, r.session, r.label, r.y, r.host, "split"]
     if s.temporal.event_definition not in ("flow_state", "true_label"):
         raise ValueError(f"events are flow_state or true_label when fitted, not {s.temporal.event_definition!r}")
+    if s.fusion.context not in ("states", "label_graph"):
+        raise ValueError(f"context comes from states or label_graph, not {s.fusion.context!r}")
     by_label = s.temporal.event_definition == "true_label"
     event = split.withColumn("__event", F.col(r.label)) if by_label else bins.transform(split, "__event")
     scaled_rows = stage(prep.transform(event, [*dict.fromkeys(keep), "__event"]))
@@ -222,14 +224,23 @@ def run(df: DataFrame, features: Sequence[str], roles: Roles = Roles(), settings
     lap("predict")
 
     cal = fusion.fit_calibrators(pv, list(fitted), r.y, len(classes), s.fusion)
-    cv, ct = stage(fusion.apply_calibrators(pv, cal)), stage(fusion.apply_calibrators(pt, cal))
-    fuse = fusion.Fusion(list(fitted), classes, benign, s.fusion.temporal).fit(cv, r.y, s.fusion)
+    own_paths = s.fusion.context == "label_graph"
+    if own_paths:
+        labels = temporal.fit_transitions(windows.event_sequences(
+            train, r.session, r.ts, [r.row_id], F.col(r.label), s.temporal.max_sequence_length), classes)
+
+    def calibrated(part: DataFrame) -> DataFrame:
+        d = fusion.apply_calibrators(part, cal)
+        return stage(fusion.add_label_context(d, labels, classes, list(fitted), r.session, r.ts, [r.row_id]) if own_paths else d)
+
+    cv, ct = calibrated(pv), calibrated(pt)
+    fuse = fusion.Fusion(list(fitted), classes, benign, s.fusion.temporal, by_model=own_paths).fit(cv, r.y, s.fusion)
     out = fuse.fuse(ct)
     guards.enforce(guards.weights_sum_to_one(out, "w", r.row_id))
     lap("fuse")
 
     shown = out.withColumn("p_fusion", F.col("fused"))
-    tables = metrics.evaluate(shown, [*fitted, "fusion"], r.y, classes, s.evaluation.rare_classes, s.evaluation.ece_bins)
+    tables = metrics.evaluate(shown, [*fitted, "fusion"], r.y, classes, s.evaluation.rare_classes, s.evaluation.ece_bins, stage)
     preds = shown.select(r.y, *[metrics.argmax(F.col(f"p_{m}")).alias(m) for m in (*fitted, "fusion")])
     tables |= {
         "split": reports.split_distribution(split, r.label, classes),

@@ -349,6 +349,28 @@ def _context(spark, sf):
     return d.select("row_id", parts.alias("x")).select("row_id", "x.model", "x.context")
 
 
+@query("context_label_graph", f"""
+WITH {SCORES_SQL},
+th AS (SELECT user_id, label, us, row_id, row_number() OVER (PARTITION BY user_id ORDER BY us DESC, row_id DESC) AS rk FROM sc WHERE {CUT_SQL}),
+tn AS (SELECT label AS src, lead(label) OVER (PARTITION BY user_id ORDER BY us, row_id) AS dst FROM th WHERE rk <= 50),
+tc AS (SELECT src, dst, count(*) AS cnt FROM tn WHERE dst IS NOT NULL GROUP BY src, dst),
+tt AS (SELECT src, sum(cnt) AS total FROM tc GROUP BY src),
+nm AS (SELECT CAST(i - 1 AS INTEGER) AS code, ['view','click','signup','purchase','error'][i] AS name FROM range(1, 6) r(i)),
+pp AS (SELECT row_id, model, pr.pred, lag(pr.pred) OVER (PARTITION BY user_id, model ORDER BY pr.us, row_id) AS before
+  FROM pr JOIN (SELECT row_id, user_id FROM sc) USING (row_id))
+SELECT row_id, model, round(CASE WHEN before IS NULL THEN 0.2 ELSE (coalesce(cnt, 0) + CAST(0.1 AS DOUBLE)) /
+    (coalesce(total, 0) + CAST(0.1 AS DOUBLE) * 5) END, 6) AS k
+FROM pp LEFT JOIN nm a ON a.code = before LEFT JOIN nm b ON b.code = pp.pred
+LEFT JOIN tt ON tt.src = a.name LEFT JOIN tc ON tc.src = a.name AND tc.dst = b.name""")
+def _label_context(spark, sf):
+    s = scores(spark, sf)
+    seqs = windows.event_sequences(s.filter(CUT), "user_id", "ts", ["row_id"], F.col("label"), 50)
+    g = temporal.fit_transitions(seqs, EVENT_CLASSES)
+    d = fusion.add_label_context(s, g, EVENT_CLASSES, list(MODELS), "user_id", "ts", ["row_id"])
+    parts = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.round(f"k_{m}", 6).alias("k")) for m in MODELS]))
+    return d.select("row_id", parts.alias("x")).select("row_id", "x.model", "x.k")
+
+
 @query("baseline_quality", f"WITH {FUSION_SQL}{QUALITY_SQL} SELECT model AS source, round(q, 6) AS q FROM qual")
 def _quality(spark, sf):
     f = fitted_fusion(fusion_rows(spark, sf))

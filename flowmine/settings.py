@@ -189,6 +189,7 @@ class TemporalSettings:
 @dataclass(frozen=True)
 class FusionSettings:
     temporal: bool = True
+    context: str = "states"                 # or "label_graph": transitions of labels, followed by each model
     calibrators: tuple = (
         ("rf", "isotonic"), ("boost", "isotonic"), ("sequence", "isotonic"),
         ("neural", "temperature"), ("graph", "temperature"),

@@ -63,6 +63,52 @@ def test_fusion_weights(spark):
     assert f.ablations(d, "y").count() == 7
 
 
+def test_label_context_follows_each_model(spark):
+    from flowmine.operators import temporal
+    seqs = spark.createDataFrame([(["x", "x", "y"],), (["x", "y", "z"],)], "events array<string>")
+    g = temporal.fit_transitions(seqs, ["x", "y", "z"], alpha=0.5)
+    d = three(spark).withColumn("s", F.col("row_id") % 7).withColumn("ts", F.timestamp_seconds(F.floor(F.col("row_id") / 9)))
+    d = d.withColumn("p_a", F.when(F.col("row_id") != 100, F.col("p_a")))
+    out = fusion.add_label_context(d, g, ["x", "y", "z"], ["a", "b"], "s", "ts", ["row_id"])
+    counts = {(0, 0): 1, (0, 1): 2, (1, 2): 1}
+    last, k = {}, {}
+    got = sorted(out.collect(), key=lambda r: (r["ts"], r["row_id"]))
+    for r in got:
+        for m in "ab":
+            now = None if r["p_" + m] is None else int(np.argmax(r["p_" + m]))
+            before = last.get((m, r["s"]))
+            total = {0: 3, 1: 1, 2: 0}
+            want = 1 / 3 if now is None or before is None else (counts.get((before, now), 0) + 0.5) / (total[before] + 1.5)
+            assert r["k_" + m] == pytest.approx(want)
+            last[m, r["s"]], k[m, r["row_id"]] = now, want
+    assert any(r["k_a"] != r["k_b"] for r in got)
+    clean = out.filter("row_id != 100").withColumn("context", F.array(*[F.lit(1 / 3)] * 3))
+    f = fusion.Fusion(["a", "b"], ["x", "y", "z"], 0, by_model=True, lambdas=(0.0, 0.0, 1.0), quality={"sp": 0.0, "tc": 0.0})
+    for r in f.fuse(clean).collect():
+        assert r["q"][:2] == pytest.approx([r["k_a"], r["k_b"]])
+    assert f.lambda_scores(clean, "y", 0.5).count() == 6
+
+
+def test_metric_tables_read_the_rows_twice(spark):
+    d = three(spark).withColumn("y", F.when(F.col("row_id") % 19 > 0, F.col("y")))
+    plans = []
+
+    def stage(df):
+        from flowmine.session import cut_lineage
+        plans.append(df)
+        return cut_lineage(df)
+    t = metrics.evaluate(d, ["a", "b"], "y", ["x", "y", "z"], ["z"], stage=stage)
+    assert len(plans) == 2
+    for table in t.values():
+        assert "sp#" not in table._jdf.queryExecution().toString()       # no column of the rows
+    flat = {r["model"]: r for r in t["metrics"].collect()}
+    for m in "ab":
+        long = d.select("y", F.col(f"p_{m}").alias("p"))
+        ece = metrics.calibration_error(metrics.confidence_bins(long, "p", "y")).first()[0]
+        assert flat[m]["ece"] == pytest.approx(ece) and flat[m]["brier"] == pytest.approx(metrics.brier(long, "p", "y").first()[0])
+        assert flat[m]["n_samples"] >= 189
+
+
 def pool_adjacent(x, y):
     order = np.argsort(x)
     blocks = []
