@@ -81,5 +81,9 @@ def test_branches_run_and_skip_small_families(spark, sf):
     runs = plan.imbalance_branches(d, EVENT_FEATURES, plan.Roles(label="label"), settings, modes=("class_weight",))
     assert runs["class_weight"].summary["imbalance"] == "class_weight" and 0 <= runs["class_weight"].summary["macro_f1"] <= 1
     assert plan.summary_table(spark, {m: r.summary for m, r in runs.items()}).count() == 1
+    own = plan.run(d, EVENT_FEATURES, plan.Roles(label="label"), settings.with_(fusion=dict(context="label_graph")))
+    assert "k_rf" in own.scored.columns and own.fusion.by_model and 0 <= own.summary["macro_f1"] <= 1
+    with pytest.raises(ValueError, match="label_graph"):
+        plan.run(d, EVENT_FEATURES, plan.Roles(label="label"), settings.with_(fusion=dict(context="guess")))
     none = plan.zero_day_branches(d, EVENT_FEATURES, plan.Roles(label="label"), settings, families=["absent"])
     assert tuple(none.first())[:3] == ("absent", 0, None)
