@@ -535,9 +535,9 @@ blk AS (SELECT cls, min(score) AS low, max(score) AS high, CAST(sum(pos) AS BIGI
 
 @query("isotonic_blocks", ISOTONIC_SQL + "SELECT cls, round(low, 9) AS low, round(high, 9) AS high, pos, n FROM blk")
 def _blocks(spark, sf):
-    """Slices of a few hundred scores, so that slices are merged as in a large table."""
+    """Slices of ten scores, so that slices are merged as in a large table."""
     counts = cut_lineage(metrics.score_counts(scores(spark, sf).filter(CUT), "p_alpha", "y"))
-    return isotonic.rising_blocks(counts, ["cls"], rows=200).select(
+    return isotonic.rising_blocks(counts, ["cls"], rows=10).select(
         "cls", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), "pos", "n")
 
 
