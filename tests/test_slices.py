@@ -114,3 +114,22 @@ def test_nearest_rows_of_one_dense_cell_in_small_tiles(spark):
     for i in range(len(x)):
         own = [j for j in np.argsort(dist[i], kind="stable") if j % 3 == i % 3][:2]
         assert got[f"{i:04d}"] == [f"{j:04d}" for j in own]
+
+
+def test_rows_of_one_vector_ask_once(spark, monkeypatch):
+    from flowmine.operators import neighbors
+
+    staged = []
+
+    def told(df):
+        staged.append(df.count())
+        return cut_lineage(df)
+    cut_lineage = neighbors.cut_lineage
+    monkeypatch.setattr(neighbors, "cut_lineage", told)
+    d = spark.range(600).select(F.format_string("%04d", "id").alias("id"), (F.col("id") % 3).cast("int").alias("y"), F.array(
+        F.when(F.col("id") % 2 == 0, 0.0).otherwise(-0.0), (F.col("id") % 200 / 150).cast("int").cast("double")).alias("x"))
+    got = {r["id"]: [n["other"] for n in r["neighbours"]] for r in neighbors.nearest(d, 2, "id", "x", "y", block_rows=10).collect()}
+    for part in ([i for i in range(600) if i % 200 < 150], [i for i in range(600) if i % 200 >= 150]):
+        for i in part:
+            assert got[f"{i:04d}"] == [f"{j:04d}" for j in part if j != i][:2]
+    assert max(staged) == 600
