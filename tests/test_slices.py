@@ -133,3 +133,18 @@ def test_rows_of_one_vector_ask_once(spark, monkeypatch):
         for i in part:
             assert got[f"{i:04d}"] == [f"{j:04d}" for j in part if j != i][:2]
     assert max(staged) == 600
+
+
+def test_information_works_on_counted_values(spark, monkeypatch):
+    from flowmine.operators import rankers
+
+    staged = []
+
+    def told(df):
+        staged.append(df.count())
+        return cut_lineage(df)
+    cut_lineage = rankers.cut_lineage
+    monkeypatch.setattr(rankers, "cut_lineage", told)
+    d = spark.range(3000).select(F.col("id").alias("r"), (F.col("id") % 2).alias("y"), (F.col("id") % 6 * 1.5).alias("a"))
+    assert rankers.mutual_information(d, ["a"], "y", "r").first()["score"] > 0.6
+    assert max(staged) <= 3 * 12
