@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from flowmine.functions.columns import INF, any_of, lookup, normalise_text, quote
 from flowmine.operators.blocks import add_running, bounded
-from flowmine.operators.slices import SLICE_ROWS, sliced
+from flowmine.operators.slices import SLICE_ROWS
 from flowmine.session import cut_lineage
 from flowmine.settings import (
     AFTERNOON_TOKENS, CLASS_ORDER, DST_PORT_COLUMNS, IDENTIFIER_COLUMNS, LABEL_GROUPS, UNLABELLED,
     WEEKDAYS)
 
+#: Ranges that a global order is cut into at most, unless they would hold more than ``SLICE_ROWS`` rows.
+MAX_RANGES = 200
 # Layouts of a time stamp, day first and month first.
 DAY_FIRST = ["d/M/yyyy H:m:s", "d/M/yyyy h:m:s a", "d/M/yyyy H:m", "d/M/yyyy h:m a", "yyyy-M-d H:m:s"]
 MONTH_FIRST = ["M/d/yyyy H:m:s", "M/d/yyyy h:m:s a", "M/d/yyyy H:m", "M/d/yyyy h:m a", "yyyy-M-d H:m:s"]
@@ -241,13 +243,17 @@ def number_in_order(df: DataFrame, ts: str, source: str, row: str, name: str = "
                     rows: int = SLICE_ROWS) -> DataFrame:
     """``name`` counts the rows from 1 in the global order of ``order_key``.
 
-    Beyond ``rows`` rows the order is cut into slices at sampled splitters; a row's
-    number is its place in its slice plus the rows of the slices before. Rows equal
-    in all three columns are numbered in any order.
+    Beyond ``rows`` rows the order is cut into ranges, at most ``MAX_RANGES`` of that
+    many; a row's number is its place in its range plus the rows of the ranges
+    before. Rows equal in all three columns are numbered in any order.
     """
-    work = df.withColumns({"__all": F.lit(0), "__late": quote(ts).isNull(), "__ts": quote(ts),
-                           "__source": quote(source), "__row": quote(row)})
+    work = cut_lineage(df.withColumns({"__all": F.lit(0), "__late": quote(ts).isNull(), "__ts": quote(ts),
+                                       "__source": quote(source), "__row": quote(row)}))
     order = ["__late", "__ts", "__source", "__row"]
-    marked, block = sliced(work, ["__all"], order, rows)
-    out = add_running(marked, ["__all"], order, block, {"__no": F.lit(1).cast("long")})
+    n, block = work.count(), None
+    ranges = min(-(-n // rows), max(MAX_RANGES, -(-n // SLICE_ROWS)))
+    if ranges > 1:
+        block = "__range"      # rises with the order, and is staged, since other plans deal the rows anew
+        work = cut_lineage(work.repartitionByRange(ranges, *order).withColumn(block, F.spark_partition_id()))
+    out = add_running(work, ["__all"], order, block, {"__no": F.lit(1).cast("long")})
     return out.select(*[quote(c) for c in df.columns], F.col("__no").cast("long").alias(name))

@@ -242,3 +242,13 @@ def test_wide_categories(spark):
     assert tuple(seen) == (n, n - 1)
     at_limit = fitted.Preprocessor([], ["c"], wide=3).fit(spark.createDataFrame([("b",), ("a",), ("c",)], "c string"))
     assert at_limit.output_columns == ["c=a", "c=b", "c=c"] and at_limit.vector_columns == []
+
+
+def test_many_ranges_of_a_global_order_put_no_splitters_on_rows(spark, monkeypatch):
+    monkeypatch.setattr(clean, "MAX_RANGES", 7)
+    d = spark.range(500).select(F.when(F.col("id") % 9 > 0, F.timestamp_seconds(F.col("id") % 40)).alias("ts"),
+                                F.concat(F.lit("f"), F.col("id") % 3).alias("source"), F.col("id").alias("row"))
+    out = clean.number_in_order(d, "ts", "source", "row", rows=2)
+    assert "splits" not in out._jdf.queryExecution().toString()
+    got = [r["row"] for r in out.orderBy("row_no").collect()]
+    assert got == sorted(range(500), key=lambda i: (i % 9 == 0, i % 40 if i % 9 else 0, i % 3, i))
