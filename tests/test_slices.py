@@ -148,3 +148,21 @@ def test_information_works_on_counted_values(spark, monkeypatch):
     d = spark.range(3000).select(F.col("id").alias("r"), (F.col("id") % 2).alias("y"), (F.col("id") % 6 * 1.5).alias("a"))
     assert rankers.mutual_information(d, ["a"], "y", "r").first()["score"] > 0.6
     assert max(staged) <= 3 * 12
+
+
+def test_rank_correlation_by_counted_values(spark, monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    from flowmine.operators import redundancy
+
+    monkeypatch.setattr(redundancy, "RANK_ROWS", 40)
+    g = np.random.default_rng(5)
+    p = pd.DataFrame({"a": np.round(g.random(300), 1), "b": g.random(300), "c": 2.0})
+    p["d"] = p["b"] * 3 - p["a"]
+    m = redundancy.rank_correlation(spark.createDataFrame(p), list("abcd"), slice_rows=50)
+    want = np.nan_to_num(p.rank().corr().to_numpy())
+    np.fill_diagonal(want, 1.0)
+    assert np.allclose(m, want, atol=1e-12)
+    with pytest.raises(ValueError):
+        redundancy.rank_correlation(spark.createDataFrame([(1.0, None), (2.0, 3.0)], "a double, b double"), ["a", "b"])
