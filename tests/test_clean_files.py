@@ -252,3 +252,17 @@ def test_many_ranges_of_a_global_order_put_no_splitters_on_rows(spark, monkeypat
     assert "splits" not in out._jdf.queryExecution().toString()
     got = [r["row"] for r in out.orderBy("row_no").collect()]
     assert got == sorted(range(500), key=lambda i: (i % 9 == 0, i % 40 if i % 9 else 0, i % 3, i))
+
+
+def test_quantiles_of_few_values_are_counted(spark, monkeypatch):
+    d = spark.range(5000).select((F.col("id") % 50 / 4.0).alias("a"), F.when(F.col("id") % 3 > 0, F.col("id") * 1.0).alias("b"))
+    probs = [0.0, 0.1, 0.505, 0.99, 1.0]
+    want = exact_quantiles(d, ["a", "b"], probs)
+
+    def refuse(*_):
+        raise AssertionError("brackets are not needed")
+    monkeypatch.setattr(F, "percentile_approx", refuse)
+    got = exact_quantiles(d, ["a", "b"], probs, small_rows=10, bracket_rows=4500)
+    assert all(got[c] == pytest.approx(want[c]) for c in ("a", "b"))
+    with pytest.raises(AssertionError):
+        exact_quantiles(d, ["a", "b"], probs, small_rows=10, bracket_rows=100)
