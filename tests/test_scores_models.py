@@ -277,3 +277,19 @@ def test_models_align_save_and_load(spark, tmp_path, kind):
     m.save(spark, str(tmp_path / "m"))
     again = models.Fitted.load(spark, str(tmp_path / "m")).predict(d, "p").orderBy("row_id").select("p").collect()
     assert np.allclose(v, np.array([r["p"] for r in again]))
+
+
+def test_permutations_are_scored_without_lifted_vectors(spark, monkeypatch):
+    """Held-out variants get the library's predictions, but the 100 cosines of a row stay in its batch."""
+    from pyspark.ml.classification import LinearSVC, OneVsRest, OneVsRestModel
+    d = spark.range(400).select("id", (F.col("id") % 3).alias("y"), ((F.col("id") * 7) % 11 / 11.0 + F.col("id") % 3).alias("a"),
+                                ((F.col("id") * 5) % 13 / 13.0).alias("b"))
+    lift = rankers.cosine_map(2, 100, 0.5, 1)
+    x = rankers.fourier_features(lift)(d.withColumn("x", F.array("a", "b")))
+    model = OneVsRest(classifier=LinearSVC(maxIter=5, regParam=0.001), labelCol="y").fit(x.select("features", F.col("y").cast("double").alias("y")))
+    want = rows(model.transform(x).select("id", "prediction"), "id")
+    got = rows(d.select("id", rankers.lifted_prediction(model, lift)([F.col("a"), F.col("b")])), "id")
+    assert got == want and len({p for _, p in got}) == 3
+    monkeypatch.setattr(OneVsRestModel, "_transform", lambda *_: pytest.fail("rows are lifted to vectors"))
+    score = {r["feature"]: r["score"] for r in rankers.rank_permutation(d, ["a", "b"], "y", "id").collect()}
+    assert score["a"] > 0.3 > abs(score["b"])
