@@ -293,3 +293,24 @@ def test_permutations_are_scored_without_lifted_vectors(spark, monkeypatch):
     monkeypatch.setattr(OneVsRestModel, "_transform", lambda *_: pytest.fail("rows are lifted to vectors"))
     score = {r["feature"]: r["score"] for r in rankers.rank_permutation(d, ["a", "b"], "y", "id").collect()}
     assert score["a"] > 0.3 > abs(score["b"])
+
+
+def test_calibration_of_counted_rows(spark):
+    """Equal rows count as often as they occur, in the report and on the temperature grid."""
+    from flowmine.operators import reports
+    d = spark.createDataFrame([([0.7, 0.2, 0.1], 0, 40), ([0.7, 0.2, 0.1], 1, 9), ([0.1, 0.3, 0.6], 2, 3), ([0.3, 0.4, 0.3], None, 2)],
+                              "p array<double>, y int, times int")
+    long = d.select("p", "y", F.explode(F.sequence(F.lit(1), "times")).alias("id"))
+    counted = metrics.counted_rows(long, "p", "y")
+    assert sorted(r["n"] for r in counted.collect()) == [2, 3, 9, 40]
+    cal = fusion.fit_calibrator(long, "p", "y", 3, "temperature")
+    assert cal.temperature == pytest.approx(fusion.fit_calibrator(d.select("p", "y", F.explode(F.array_repeat(F.lit(1), F.col("times")))), "p", "y", 3, "temperature").temperature)
+    want = reports.calibration_change(cal.apply(long, "p", "q"), "p", "q", "y").first()
+    got = reports.calibration_change(cal.apply(counted, "p", "q"), "p", "q", "y", weight="n").first()
+    assert tuple(got) == pytest.approx(tuple(want), abs=2e-6)
+    nll = [(-math.log(v[t] ** (1 / cal.temperature) / sum(x ** (1 / cal.temperature) for x in v)), n)
+           for v, t, n in (([0.7, 0.2, 0.1], 0, 40), ([0.7, 0.2, 0.1], 1, 9), ([0.1, 0.3, 0.6], 2, 3))]
+    for other in (cal.temperature * 1.05, cal.temperature / 1.05):
+        worse = [(-math.log(v[t] ** (1 / other) / sum(x ** (1 / other) for x in v)), n)
+                 for v, t, n in (([0.7, 0.2, 0.1], 0, 40), ([0.7, 0.2, 0.1], 1, 9), ([0.1, 0.3, 0.6], 2, 3))]
+        assert sum(a * n for a, n in nll) <= sum(a * n for a, n in worse)
