@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from flowmine.functions.columns import micros, quote
 from flowmine.operators.blocks import add_previous_rows, cut_rows, time_block
-from flowmine.operators.slices import SLICE_ROWS, sliced
+from flowmine.operators.slices import sliced
 from flowmine.session import cut_lineage
 
 BLOCK_S = 900
+#: Sessions of one host that one task links: each of them stands for several edges.
+HOST_SLICE_ROWS = 250_000
 
 
 def session_nodes(df: DataFrame, session: str, ts: str, features: Sequence[str],
@@ -35,7 +37,7 @@ def session_nodes(df: DataFrame, session: str, ts: str, features: Sequence[str],
 
 
 def session_edges(df: DataFrame, session: str, ts: str, host: str, max_in_degree: int = 10,
-                  max_gap_s: float | None = 900.0, slice_rows: int = SLICE_ROWS) -> DataFrame:
+                  max_gap_s: float | None = 900.0, slice_rows: int = HOST_SLICE_ROWS) -> DataFrame:
     """Edges (src, dst) from earlier to later sessions that share a host.
 
     Per host a session is linked from at most ``max_in_degree`` sessions, the
@@ -52,7 +54,8 @@ def session_edges(df: DataFrame, session: str, ts: str, host: str, max_in_degree
     edges = edges.select("b.src", "dst", F.col("b.ts").alias("t_src"), "t_dst")
     if max_gap_s:
         edges = edges.filter((F.col("t_dst") - F.col("t_src")) / F.lit(1e6) <= F.lit(float(max_gap_s)))
-    return edges.groupBy("src", "dst").agg(F.min("t_dst").alias("t_dst"))
+    # Hardly a pair occurs twice: folded before the shuffle, a task would hold all its pairs at once.
+    return edges.repartition("src", "dst").groupBy("src", "dst").agg(F.min("t_dst").alias("t_dst"))
 
 
 def limit_edges(edges: DataFrame, budget: int, block_s: int = BLOCK_S) -> DataFrame:
@@ -68,13 +71,16 @@ def limit_edges(edges: DataFrame, budget: int, block_s: int = BLOCK_S) -> DataFr
 
 
 def _messages(nodes: DataFrame, edges: DataFrame, node: str, direction: str) -> DataFrame:
-    pairs = [edges.select("src", "dst"), nodes.select(F.col(node).alias("src"), F.col(node).alias("dst"))]
+    """Distinct (src, dst) with the number of messages of the receiver, from one shuffle by receiver."""
+    ways = [F.struct("src", "dst")]
     if direction == "both":
-        pairs.append(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        ways.append(F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
     elif direction != "causal":
         raise ValueError(f"unknown direction {direction!r}")
-    m = functools.reduce(lambda a, b: a.unionByName(b), pairs)
-    return m.groupBy("src", "dst").agg(F.lit(1).alias("__one")).drop("__one")
+    m = edges.select(F.explode(F.array(*ways)).alias("e")).select("e.src", "e.dst").unionByName(
+        nodes.select(F.col(node).alias("src"), F.col(node).alias("dst")))
+    m = m.filter(F.col("dst").isNotNull()).repartition("dst").groupBy("dst", "src").agg(F.lit(1).alias("__one"))
+    return m.select("src", "dst", F.count(F.lit(1)).over(Window.partitionBy("dst")).alias("d1"))
 
 
 def propagate(nodes: DataFrame, edges: DataFrame, node: str, features: Sequence[str], hops: int = 2,
@@ -82,18 +88,17 @@ def propagate(nodes: DataFrame, edges: DataFrame, node: str, features: Sequence[
     """Degree-normalised neighbourhood sums of the features, ``hops`` times.
 
     Every node also hears itself. Degrees are bounded by the edge rule, so the
-    joins stay balanced.
+    joins stay balanced. A node carries its own degree, so the messages are
+    shuffled once by receiver and once by sender.
     """
     m = _messages(nodes, edges, node, direction)
-    degree = m.groupBy("dst").agg(F.count(F.lit(1)).alias("deg"))
-    weighted = (m.join(degree.withColumnRenamed("deg", "d1"), "dst")
-                .join(degree.select(F.col("dst").alias("src"), F.col("deg").alias("d2")), "src")
-                .select("src", "dst", (1.0 / F.sqrt(F.col("d1") * F.col("d2"))).alias("w")))
+    degree = m.groupBy(F.col("dst").alias("src")).agg(F.count(F.lit(1)).alias("d2"))
     h = nodes.select(node, *[quote(c) for c in features])
+    w = 1.0 / F.sqrt(F.col("d1") * F.col("d2"))
     for _ in range(hops):
-        h = (weighted.join(h.withColumnRenamed(node, "src"), "src")
+        h = (m.join(h.withColumnRenamed(node, "src").join(degree, "src"), "src")
              .groupBy(F.col("dst").alias(node))
-             .agg(*[F.sum(F.col("w") * quote(c)).alias(c) for c in features]))
+             .agg(*[F.sum(w * quote(c)).alias(c) for c in features]))
     return h
 
 

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -91,3 +92,37 @@ def test_itemsets_equal_all_subsets_and_stop_at_their_length(spark):
     d = spark.createDataFrame([(i, clique) for i in range(50)], "session_id long, events array<string>")
     assert temporal.frequent_itemsets(d, 0.5, 4).count() == 40 + 780 + 9880 + 91390
     assert temporal.frequent_itemsets(d.limit(0), 0.5, 4).count() == 0
+
+
+def test_a_task_of_edges_holds_no_more_than_its_slice(spark):
+    """A host is sliced well below a task's memory, and pairs are not gathered before their shuffle."""
+    import inspect
+    d = spark.range(50).select(F.col("id").cast("string").alias("s"), F.lit("h").alias("host"), F.timestamp_seconds("id").alias("ts"))
+    assert inspect.signature(graph.session_edges).parameters["slice_rows"].default <= 250_000
+    e = graph.session_edges(d, "s", "ts", "host", 3, 20.0)
+    plan = e._jdf.queryExecution().sparkPlan().toString().splitlines()
+    shuffle = next(i for i, line in enumerate(plan) if "RepartitionByExpression" in line or "Exchange hashpartitioning(src" in line)
+    explode = next(i for i, line in enumerate(plan) if "Generate" in line)
+    assert shuffle < explode and not any("Aggregate" in line for line in plan[shuffle:explode])
+    assert e.count() == 3 * 50 - 6
+
+
+def test_propagation_shuffles_messages_twice_and_equals_matrices(spark):
+    """Repeated and looping edges count once; both directions and two hops equal the matrix product."""
+    pairs = [("a", "b"), ("a", "b"), ("b", "c"), ("c", "c"), ("a", "d"), ("d", "a")]
+    names, x = "abcde", np.arange(1.0, 6.0)
+    nodes = spark.createDataFrame(list(zip(names, x.tolist())), "n string, v double")
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    for way in ("causal", "both"):
+        m = np.eye(5)
+        for a, b in pairs:
+            m[names.index(b), names.index(a)] = 1
+            if way == "both":
+                m[names.index(a), names.index(b)] = 1
+        deg = m.sum(1)
+        w = m / np.sqrt(np.outer(deg, deg))
+        out = graph.propagate(nodes, edges, "n", ["v"], 2, way)
+        got = {r["n"]: r["v"] for r in out.collect()}
+        assert [got[c] for c in names] == pytest.approx(list(w @ w @ x))
+    one = graph.propagate(nodes, edges, "n", ["v"], 1)
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
