@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from flowmine.functions.arrays import contains_in_order
 from flowmine.operators import graph, temporal, windows
 from flowmine.queries.common import SESSIONS_SQL, query, sessions_of
+from flowmine.session import cut_lineage
 from flowmine.sources.files import observed_edges
 
 STATES = ["view", "click", "login"]
@@ -266,9 +267,10 @@ SELECT session_id, round(value / 3, 6) AS value, round(k / 3, 6) AS k FROM h{hop
 for _dir, _hops in (("both", 1), ("causal", 2)):
     @query(f"graph_propagation_{_dir}", _prop_sql(_dir == "both", _hops))
     def _prop(spark, sf, direction=_dir, hops=_hops):
-        s = sessions_of(spark, sf)
+        s = cut_lineage(sessions_of(spark, sf).select("session_id", "ts", "src_ip", "value", "k"))
         nodes = graph.session_nodes(s, "session_id", "ts", ["value", "k"])
-        h = graph.propagate(nodes, edges_of(spark, sf), "session_id", ["value", "k"], hops, direction)
+        edges = graph.session_edges(s, "session_id", "ts", "src_ip", 5, 7200.0)
+        h = graph.propagate(nodes, edges, "session_id", ["value", "k"], hops, direction)
         return h.select("session_id", F.round(F.col("value") / 3, 6).alias("value"),
                         F.round(F.col("k") / 3, 6).alias("k"))
 
