@@ -45,10 +45,7 @@ def session_edges(df: DataFrame, session: str, ts: str, host: str, max_in_degree
     """
     pairs = df.groupBy(session, host).agg(F.min(micros(F.col(ts))).alias("__t"))
     seen = cut_lineage(pairs.select(session, host, F.min("__t").over(Window.partitionBy(session)).alias("t0")))
-    seen, block = sliced(seen.filter(F.col(host).isNotNull() & F.col("t0").isNotNull()), [host], ["t0", session], slice_rows)
-    linked = add_previous_rows(seen, [host], ["t0", session], block,
-                               F.struct(F.col(session).alias("src"), F.col("t0").alias("ts")),
-                               max_in_degree, "__before")
+    linked = _linked(seen, session, host, session, max_in_degree, slice_rows)
     edges = linked.select(F.explode("__before").alias("b"), F.col(session).alias("dst"),
                           F.col("t0").alias("t_dst"))
     edges = edges.select("b.src", "dst", F.col("b.ts").alias("t_src"), "t_dst")
@@ -58,6 +55,40 @@ def session_edges(df: DataFrame, session: str, ts: str, host: str, max_in_degree
     return edges.repartition("src", "dst").groupBy("src", "dst").agg(F.min("t_dst").alias("t_dst"))
 
 
+def _linked(seen: DataFrame, session: str, host: str, name: str, k: int, slice_rows: int) -> DataFrame:
+    """(session, host, t0) with the ``name`` and time of up to ``k`` sessions before each on its host."""
+    seen, block = sliced(seen.filter(F.col(host).isNotNull() & F.col("t0").isNotNull()), [host], ["t0", session], slice_rows)
+    if block:
+        seen = cut_lineage(seen)        # read for the rows and again for the ends of the slices
+    return add_previous_rows(seen, [host], ["t0", session], block,
+                             F.struct(F.col(name).alias("src"), F.col("t0").alias("ts")), k, "__before")
+
+
+def numbered(nodes: DataFrame, session: str, name: str = "number") -> DataFrame:
+    """Staged nodes with a number each, in no given order; rows without a session are no node."""
+    return cut_lineage(nodes.filter(F.col(session).isNotNull()).withColumn(name, F.monotonically_increasing_id()))
+
+
+def numbered_edges(df: DataFrame, nodes: DataFrame, session: str, host: str, max_in_degree: int = 10,
+                   max_gap_s: float | None = 900.0, number: str = "number",
+                   slice_rows: int = HOST_SLICE_ROWS) -> DataFrame:
+    """``session_edges`` as distinct (src, dst) of the ``numbered`` nodes.
+
+    There are several edges to a session, so their shuffles and sorts are most of
+    the work on the graph: numbers stand for the names, and the edges of a session
+    travel as one array to the task that folds them.
+    """
+    seen = df.select(session, host).filter(F.col(host).isNotNull()).distinct()
+    seen = cut_lineage(seen.join(nodes.select(session, "t0", number), session))
+    linked = _linked(seen, session, host, number, max_in_degree, slice_rows)
+    before = F.col("__before")
+    if max_gap_s:
+        before = F.filter(before, lambda b: (F.col("t0") - b["ts"]) / F.lit(1e6) <= F.lit(float(max_gap_s)))
+    arrays = linked.select(F.col(number).alias("dst"), F.transform(before, lambda b: b["src"]).alias("__srcs"))
+    arrays = arrays.filter(F.size("__srcs") > 0).repartition("dst")
+    return arrays.select(F.explode("__srcs").alias("src"), "dst").distinct()
+
+
 def limit_edges(edges: DataFrame, budget: int, block_s: int = BLOCK_S) -> DataFrame:
     """The first ``budget`` edges by (time, src, dst)."""
     work = edges.withColumn("__g", F.lit(0)).withColumn("__blk", time_block(F.col("t_dst"), block_s))
@@ -70,36 +101,44 @@ def limit_edges(edges: DataFrame, budget: int, block_s: int = BLOCK_S) -> DataFr
         *edges.columns)
 
 
-def _messages(nodes: DataFrame, edges: DataFrame, node: str, direction: str) -> DataFrame:
-    """Distinct (src, dst) with the number of messages of the receiver, from one shuffle by receiver."""
+def _messages(nodes: DataFrame, edges: DataFrame, node: str, direction: str, folded: bool) -> DataFrame:
+    """Distinct (src, dst), with a message of each node to itself, from one shuffle by receiver."""
     ways = [F.struct("src", "dst")]
     if direction == "both":
         ways.append(F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
     elif direction != "causal":
         raise ValueError(f"unknown direction {direction!r}")
-    m = edges.select(F.explode(F.array(*ways)).alias("e")).select("e.src", "e.dst").unionByName(
-        nodes.select(F.col(node).alias("src"), F.col(node).alias("dst")))
-    m = m.filter(F.col("dst").isNotNull()).repartition("dst").groupBy("dst", "src").agg(F.lit(1).alias("__one"))
-    return m.select("src", "dst", F.count(F.lit(1)).over(Window.partitionBy("dst")).alias("d1"))
+    own = nodes.select(F.col(node).alias("src"), F.col(node).alias("dst"))
+    if folded and direction == "causal":
+        return edges.select("src", "dst").unionByName(own).filter(F.col("dst").isNotNull())
+    m = edges.select(F.explode(F.array(*ways)).alias("e")).select("e.src", "e.dst").unionByName(own)
+    return m.filter(F.col("dst").isNotNull()).repartition("dst").distinct()
 
 
 def propagate(nodes: DataFrame, edges: DataFrame, node: str, features: Sequence[str], hops: int = 2,
-              direction: str = "causal") -> DataFrame:
+              direction: str = "causal", folded: bool = False) -> DataFrame:
     """Degree-normalised neighbourhood sums of the features, ``hops`` times.
 
     Every node also hears itself. Degrees are bounded by the edge rule, so the
-    joins stay balanced. A node carries its own degree, so the messages are
-    shuffled once by receiver and once by sender.
+    joins stay balanced. A sender is divided by the root of its degree before and
+    a receiver after the sum, where its degree is the number of messages it got.
+    ``folded`` edges hold no pair twice and none from a node to itself.
     """
-    m = _messages(nodes, edges, node, direction)
-    degree = m.groupBy(F.col("dst").alias("src")).agg(F.count(F.lit(1)).alias("d2"))
-    h = nodes.select(node, *[quote(c) for c in features])
-    w = 1.0 / F.sqrt(F.col("d1") * F.col("d2"))
-    for _ in range(hops):
-        h = (m.join(h.withColumnRenamed(node, "src").join(degree, "src"), "src")
-             .groupBy(F.col("dst").alias(node))
-             .agg(*[F.sum(w * quote(c)).alias(c) for c in features]))
-    return h
+    m = _messages(nodes, edges, node, direction, folded)
+    degree = m.groupBy(F.col("dst").alias("src")).agg(F.count(F.lit(1)).alias("__d"))
+    names = [f"__g{i}" for i in range(len(features))]
+    root = F.sqrt("__d")
+    sent = nodes.select(F.col(node).alias("src"), *[quote(c).alias(g) for c, g in zip(features, names)]).join(
+        degree, "src").select("src", *[(F.col(g) / root).alias(g) for g in names], F.lit(1).alias("__one"))
+    for left in reversed(range(hops)):
+        # Messages of unknown senders count in the degree only.
+        got = m.join(sent, "src", "left").drop("src").repartition("dst").groupBy("dst").agg(
+            F.count(F.lit(1)).alias("__d"), F.count("__one").alias("__heard"), *[F.sum(g).alias(g) for g in names])
+        got = got.filter(F.col("__heard") > 0)
+        if left:
+            sent = got.select(F.col("dst").alias("src"), *[(F.col(g) / F.col("__d")).alias(g) for g in names],
+                              F.lit(1).alias("__one"))
+    return got.select(F.col("dst").alias(node), *[(F.col(g) / root).alias(c) for c, g in zip(features, names)])
 
 
 def to_rows(df: DataFrame, per_node: DataFrame, session: str) -> DataFrame:

@@ -126,3 +126,33 @@ def test_propagation_shuffles_messages_twice_and_equals_matrices(spark):
         assert [got[c] for c in names] == pytest.approx(list(w @ w @ x))
     one = graph.propagate(nodes, edges, "n", ["v"], 1)
     assert one._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+
+
+def test_graph_features_travel_by_number(spark):
+    """Numbered edges are the named ones, sliced or not, and features along them equal the matrix product."""
+    from flowmine.operators.models import graph_features
+    from flowmine.session import cut_lineage
+    data = [(f"s{i % 20:02d}", f"h{i % 3}" if i % 5 else None, (i * 37) % 100 // 4, float(i)) for i in range(60)] + [(None, "h0", 1, 9.0)]
+    d = spark.createDataFrame(data, "session_id string, host string, t long, v double").withColumn("ts", F.timestamp_seconds("t"))
+    nodes = graph.numbered(graph.session_nodes(d, "session_id", "ts", ["v"]), "session_id")
+    names = {r["number"]: r["session_id"] for r in nodes.collect()}
+    assert len(names) == 20 and None not in names.values()
+    known = d.filter("session_id IS NOT NULL")
+    want = {(r["src"], r["dst"]) for r in graph.session_edges(known, "session_id", "ts", "host", 4, 9.0).collect()}
+    for rows in (5, 1000):
+        e = graph.numbered_edges(d, nodes, "session_id", "host", 4, 9.0, slice_rows=rows)
+        assert dict(e.dtypes) == {"src": "bigint", "dst": "bigint"}
+        got = [(names[r["src"]], names[r["dst"]]) for r in e.collect()]
+        assert set(got) == want and len(got) == len(want) > 20
+    plan = graph.propagate(nodes, cut_lineage(e), "number", ["v"], 2, folded=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Join ") == 3
+    order = sorted(names.values())
+    x = np.array([np.mean([v for s, _, _, v in data if s == n]) for n in order])
+    m = np.eye(20)
+    for a, b in want:
+        m[order.index(b), order.index(a)] = 1
+    w = m / np.sqrt(np.outer(m.sum(1), m.sum(1)))
+    for budget in (None, 10**6):
+        f = graph_features(d, ["v"], "session_id", "ts", "host", 2, 4, 9.0, budget)
+        got = {r["session_id"]: r["features"].toArray().tolist() for r in f.collect()}
+        assert [got[n] for n in order] == [pytest.approx(p) for p in zip(x, w @ w @ x)] and len(got) == 20
