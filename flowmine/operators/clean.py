@@ -223,15 +223,25 @@ def drop_copies(df: DataFrame, content: Sequence[str], order: Sequence[str]) ->
 
     A grouped minimum, so copies are folded before the shuffle and a row with a
     great many copies costs no more than another. Missing values of the order
-    come last.
+    come last. Zeros of either sign are copies; the row that stays keeps its own.
     """
     rest = [c for c in df.columns if c not in content]
     lead = list(order) + [c for c in rest if c not in order]
     flags = [quote(c).isNull().alias(f"__null{i}") for i, c in enumerate(order)]
     ranked = [x for i, c in enumerate(order) for x in (flags[i], quote(c))]
+    # Grouping returns 0.0 for -0.0, so the signs of zeros travel with the row.
+    floats = [c for c, kind in df.dtypes if c in content and kind in ("double", "float")]
+    signs = [F.array(*[F.coalesce((quote(c) == 0) & (quote(c).cast("string") == "-0.0"), F.lit(False)) for c in floats])
+             .alias("__signs")] if floats else []
     kept = df.groupBy(*[quote(c) for c in content]).agg(
-        F.min(F.struct(*ranked, *[quote(c) for c in lead[len(order):]])).alias("__first"))
-    return kept.select(*[quote(c) if c in content else F.col("__first")[c].alias(c) for c in df.columns])
+        F.min(F.struct(*ranked, *[quote(c) for c in lead[len(order):]], *signs)).alias("__first"))
+
+    def own(c: str) -> Column:
+        if c not in floats:
+            return quote(c)
+        return F.when(F.get(F.col("__first")["__signs"], F.lit(floats.index(c))), -quote(c)).otherwise(quote(c)).alias(c)
+
+    return kept.select(*[own(c) if c in content else F.col("__first")[c].alias(c) for c in df.columns])
 
 
 def order_key(ts: str, source: str, row: str) -> list[Column]:

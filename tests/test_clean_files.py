@@ -266,3 +266,13 @@ def test_quantiles_of_few_values_are_counted(spark, monkeypatch):
     assert all(got[c] == pytest.approx(want[c]) for c in ("a", "b"))
     with pytest.raises(AssertionError):
         exact_quantiles(d, ["a", "b"], probs, small_rows=10, bracket_rows=100)
+
+
+def test_copies_keep_the_sign_of_their_zero(spark):
+    d = spark.createDataFrame([(1, -0.0, "b"), (1, -0.0, "a"), (2, 0.0, "a"), (3, None, "a"), (4, -0.0, "b"), (4, 0.0, "a")],
+                              "k int, v double, source string")
+    out = clean.drop_copies(d, ["k", "v"], ["source"]).withColumn("v", F.col("v").cast("string"))
+    assert rows(out, "k") == [(1, "-0.0", "a"), (2, "0.0", "a"), (3, None, "a"), (4, "0.0", "a")]
+    floats = clean.drop_copies(d.withColumn("v", F.col("v").cast("float")), ["k", "v"], ["source"])
+    assert floats.schema["v"].dataType.simpleString() == "float"
+    assert rows(floats.select("k", F.col("v").cast("string")), "k")[0] == (1, "-0.0")
