@@ -180,6 +180,17 @@ def test_smote_enn_loses_no_class_and_stays_on_segments(spark):
     assert res.weights.count() == 5
 
 
+def test_smote_enn_takes_every_row_of_a_large_class(spark):
+    y = F.when(F.col("id") < 150_050, 0).otherwise(1)
+    d = spark.range(150_200).select(F.col("id").cast("string").alias("row_id"), y.alias("y"), F.array(
+        (F.col("id") % 7).cast("double"), y * 50.0).alias("x"))
+    # The classes lie apart, so cleaning removes nothing.
+    report = imbalance.smote_enn(d, "y", "row_id", "x", ImbalanceSettings(max_oversample_ratio=3)).report
+    assert rows(report.select("y", "before", "after", "target"), "y") == [(0, 150_050, 150_050, 150_050), (1, 150, 450, 450)]
+    few = imbalance.smote_enn(d, "y", "row_id", "x", ImbalanceSettings(max_oversample_ratio=3, majority_cap=1_000)).report
+    assert rows(few.select("y", "before", "after", "target"), "y") == [(0, 150_050, 1_000, 1_000), (1, 150, 450, 450)]
+
+
 def brute_information(x, y, k):
     def psi(n):
         return -0.5772156649015329 + sum(1.0 / i for i in range(1, int(n)))
