@@ -191,6 +191,35 @@ def test_smote_enn_takes_every_row_of_a_large_class(spark):
     assert rows(few.select("y", "before", "after", "target"), "y") == [(0, 150_050, 1_000, 1_000), (1, 150, 450, 450)]
 
 
+def test_lambda_grid_is_scored_without_a_row_a_triple(spark):
+    g = np.random.default_rng(5)
+    data = []
+    for i in range(120):
+        a, b = g.dirichlet(np.ones(3)).tolist(), g.dirichlet(np.ones(3)).tolist()
+        data.append((None if i % 29 == 0 else int(g.integers(3)), None if i % 17 == 0 else a, b, float(g.random()), g.dirichlet(np.ones(3)).tolist()))
+    d = spark.createDataFrame(data, "y int, p_a array<double>, p_b array<double>, availability double, context array<double>")
+    d = d.withColumns({"sp": F.lit(0.2), "tc": F.lit(0.4), "row_id": F.monotonically_increasing_id()})
+    f = fusion.Fusion(["a", "b"], ["x", "y", "z"], 0, quality={"a": 0.7, "b": 0.4, "sp": 0.6, "tc": 0.5})
+    table = f.lambda_scores(d, "y", 0.25)
+    got = {(r["l1"], r["l2"], r["l3"]): r["macro_f1"] for r in table.collect()}
+    assert list(got) and set(got) == set(f.lambda_grid(0.25))
+    for triple in list(got)[::4]:
+        f.lambdas = triple
+        want = metrics.summary_scores(metrics.confusion(f.fuse(d), "y", "pred")).first()["macro_f1"]
+        assert got[triple] == pytest.approx(want, abs=1e-12)
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan.split("MapInPandas")[1]
+
+
+def test_forests_read_their_rows_from_a_stage(spark):
+    _, d = cloud(spark, [50, 30, 20])
+    d = d.select("row_id", "y", *[F.get("x", F.lit(i)).alias(c) for i, c in enumerate("abc")])
+    kept = rankers.fitting_rows(d, ["a", "b"], "y", "row_id", 40, 1)
+    files = kept.inputFiles()
+    assert 0 < kept.count() <= 40 and files and all("/cut-" in f for f in files)
+    assert kept.columns == ["row_id", "y", "a", "b", "weight"]
+
+
 def brute_information(x, y, k):
     def psi(n):
         return -0.5772156649015329 + sum(1.0 / i for i in range(1, int(n)))
