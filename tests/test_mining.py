@@ -156,3 +156,11 @@ def test_graph_features_travel_by_number(spark):
         f = graph_features(d, ["v"], "session_id", "ts", "host", 2, 4, 9.0, budget)
         got = {r["session_id"]: r["features"].toArray().tolist() for r in f.collect()}
         assert [got[n] for n in order] == [pytest.approx(p) for p in zip(x, w @ w @ x)] and len(got) == 20
+
+
+def test_lookups_read_staged_states_and_edges(spark):
+    seqs = spark.createDataFrame([("u", ["a", "b", "a"]), ("v", ["b"])], "unit string, events array<string>")
+    g = temporal.fit_transitions(seqs, ["a"])
+    assert sorted(map(tuple, g.edges.collect())) == [("a", "b", 1), ("b", "a", 1)] and g.n_states == 2
+    for small in (g.edges, g.states):
+        assert small.inputFiles() and all("/cut-" in f for f in small.inputFiles())
